@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, langid, mixing, packing, pii, sharding, urlfilter
+from . import digest, langid, mixing, neardup, packing, pii, sharding, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilter.screen(urlfilter.sample_captures(pages), urlfilter.sample_changes(pages))
@@ -43,7 +47,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op4_langid, op5_digest, op6_sharding, op9_urlfilter, op10_pii)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op4_langid, op5_digest, op6_sharding, op7_neardup, op9_urlfilter, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
