@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import digest, langid, mixing, neardup, packing, pii, sharding, urlfilter
+from . import ann, digest, langid, mixing, neardup, packing, pii, sharding, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -47,7 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op4_langid, op5_digest, op6_sharding, op7_neardup, op9_urlfilter, op10_pii)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_ann, op4_langid, op5_digest, op6_sharding, op7_neardup, op9_urlfilter, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
