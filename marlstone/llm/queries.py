@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, digest, langid, mixing, neardup, packing, pii, sharding, urlfilter
+from . import ann, digest, langid, lm, mixing, neardup, packing, pii, sharding, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilter.screen(urlfilter.sample_captures(pages), urlfilter.sample_changes(pages))
@@ -52,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_ann, op4_langid, op5_digest, op6_sharding, op7_neardup, op9_urlfilter, op10_pii)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_ann, op4_langid, op5_digest, op6_sharding, op7_neardup, op8_lm, op9_urlfilter, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
