@@ -244,13 +244,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns as they were, whose text has a language of at least that score."""
+    """The rows of docs, all columns as they were, whose text has a language of at least that score.
+
+    If nothing could be learned, all text with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = shared.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([a != "und" and s >= least for a, s in zip(lang, score, strict=True)], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            if shared.value.languages:
+                keep = [a != "und" and s >= least for a, s in zip(*shared.value.predict(texts), strict=True)]
+            else:
+                keep = [bool(t and _LETTER.search(t)) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
