@@ -11,8 +11,8 @@ similarity of theirs is at least THRESHOLD, and classes are the components of th
    shingles or K ln K darts, whichever is more; if a coordinate stays empty the bound doubles.
 3. ROWS coordinates make a band. A band's bucket has a leader; each member is held against it.
 4. Buckets in which some member isn't linked to the leader, and that still span components,
-   are compared in full by tiles of bounded size, in numpy on signatures of one byte a
-   coordinate. Only pairs across components that could be links come out.
+   are compared in full in tiles of bounded size, in numpy on signatures of one byte a
+   coordinate. A tile returns links that join components, each pair once over all bands.
 5. Pairs are judged by signature where that is beyond doubt (four standard deviations), else by
    the exact similarity of the whole texts.
 
@@ -169,6 +169,16 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) * (256 / 255)
 
 
+def _texts(ids: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text of the texts that ids names."""
+    ids = materialize(ids.distinct(), "ids")
+    n = ids.count()
+    texts = docs.where(F.col("text").isNotNull()).select(_ident(F.col("doc_id"), F.col("text")).alias("id"), "text").join(small(ids, n), "id", "left_semi")
+    # A repeated doc_id can have several texts; the sketch's own is the one with its hash.
+    own = sketches.select("id", "t1").join(small(ids, n), "id", "left_semi")
+    return materialize(texts.join(own, "id").where(F.xxhash64("text") == F.col("t1")).select("id", "text").dropDuplicates(["id"]), "texts")
+
+
 def _judge(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b) that are links."""
     side = lambda s: sketches.select(F.col("id").alias(s), F.col("weight").alias("w" + s), F.col("bytes").alias("s" + s))
@@ -186,12 +196,7 @@ def _judge(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     guessed = pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long, sure boolean")
     guessed = materialize(guessed, "guessed")
     doubt = guessed.where(~F.col("sure"))
-    ids = materialize(doubt.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "doubt")
-    texts = docs.where(F.col("text").isNotNull()).select(_ident(F.col("doc_id"), F.col("text")).alias("id"), "text")
-    # A stand-in or a repeated doc_id can have several texts; the sketch's own is the one with its hash.
-    texts = texts.join(small(ids, ids.count()), "id", "left_semi")
-    texts = texts.join(sketches.select(F.col("id"), "t1").join(small(ids, ids.count()), "id", "left_semi"), "id").where(F.xxhash64("text") == F.col("t1")).select("id", "text").dropDuplicates(["id"])
-    texts = materialize(texts, "texts")
+    texts = _texts(doubt.select(F.explode(F.array("a", "b")).alias("id")), sketches, docs)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,21 +215,52 @@ def _judge(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     return guessed.where("sure").select("a", "b").unionByName(checked)
 
 
-def _tiles(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile's members, of different components, that may be links."""
+def _tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components of a tile's members, enough to join all that can be: the likeliest pairs first,
+    and none between members that are joined by then. A pair belongs to the first band its members share."""
     lo, hi = int(key[1]), int(key[2])
-    x, y = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    ids, comp, w = y["id"].to_numpy(), y["comp"].to_numpy(), y["weight"].to_numpy(float)
-    if len(x) and len(y):
-        s = np.frombuffer(b"".join(y["bytes"]), np.uint8).reshape(-1, K)
-        for i, c, v, one in zip(x["id"], x["comp"], x["weight"], x["bytes"], strict=True):
-            others = np.flatnonzero((comp != c) & (np.minimum(w, v) >= THRESHOLD * np.maximum(w, v)) & ((ids > i) | (lo != hi)))
-            if len(others):
-                near = others[_estimate(s[others], np.frombuffer(one, np.uint8)) >= HOPELESS]
-                found_a.append(np.maximum(ids[near], i))
-                found_b.append(np.minimum(ids[near], i))
-    return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+    pdf = pdf.reset_index(drop=True)
+    ids, comp, w, block = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["weight"].to_numpy(float), pdf["block"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["bytes"]), np.uint8).reshape(-1, K)
+    bands = np.stack(pdf["bands"].to_numpy())
+    here = int(np.flatnonzero(bands[0] == int(key[0]))[0])
+    right = np.flatnonzero(block == hi)
+    found_i, found_j, guesses = [], [], []
+    for i in np.flatnonzero(block == lo):
+        j = right[(comp[right] != comp[i]) & (np.minimum(w[right], w[i]) >= THRESHOLD * np.maximum(w[right], w[i]))]
+        if lo == hi:
+            j = j[j > i]
+        j = j[~(bands[j, :here] == bands[i, :here]).any(axis=1)] if here else j
+        if len(j):
+            guess = _estimate(sig[j], sig[i])
+            near = guess >= HOPELESS
+            found_i.append(np.full(near.sum(), i))
+            found_j.append(j[near])
+            guesses.append(guess[near])
+    out_a, out_b = [], []
+    if found_i:
+        i_, j_, g_ = (np.concatenate(x) for x in (found_i, found_j, guesses))
+        above: dict[int, int] = {}
+        sets: dict[int, tuple] = {}
+
+        def top(c: int) -> int:
+            while (up := above.get(c, c)) != c:
+                above[c] = c = above.get(up, up)
+            return c
+
+        def words(i: int) -> tuple:
+            if i not in sets:
+                sets[i] = next(multisets([pdf.at[i, "text"]]))
+            return sets[i]
+
+        for n in np.argsort(-g_, kind="stable"):
+            i, j = int(i_[n]), int(j_[n])
+            x, y = top(int(comp[i])), top(int(comp[j]))
+            if x != y and (g_[n] >= SURE or jaccard(words(i), words(j)) >= THRESHOLD):
+                above[max(x, y)] = min(x, y)
+                out_a.append(max(ids[i], ids[j]))
+                out_b.append(min(ids[i], ids[j]))
+    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
 
 
 def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -233,6 +269,7 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     member = texts.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("band"))
     first = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id")))
     leader = member.groupBy("band").agg(first.alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("lband"), F.col("l.id").alias("leader"), "n")
+    leader = materialize(leader, "leaders")
     bucket = materialize(member.join(leader, F.col("band") == F.col("lband")).select("band", "id", "leader", "n"), "buckets")
     pairs = bucket.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     good = materialize(_judge(pairs, texts, docs), "good")
@@ -245,23 +282,23 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / F.lit(_TILE)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     # Two-member buckets were the leader's one pair.
-    tiled = (
-        rest.where("n > 2")
-        .join(spans, F.col("band") == F.col("sband"), "left_semi")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiled = rest.where("n > 2").join(spans, F.col("band") == F.col("sband"), "left_semi").withColumn("block", block)
+    tiled = materialize(tiled.select("band", "id", "comp", "block", blocks.alias("blocks")), "tiled")
+    whole = texts.select("id", "weight", "bytes", "bands").join(_texts(tiled.select("id"), texts, docs), "id")
+    sides = (
+        tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "comp")
-        .join(texts.select("id", "weight", "bytes"), "id")
+        .join(whole, "id")
     )
-    across = tiled.groupBy("band", "lo", "hi").applyInPandas(_tiles, "a long, b long").distinct()
-    return good.unionByName(_judge(materialize(across, "across"), texts, docs))
+    return good.unionByName(sides.groupBy("band", "lo", "hi").applyInPandas(_tile, "a long, b long"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) for each row of docs."""
     every = materialize(sketch(docs), "sketches")
     key = ["t1", "t2", "t3"]
-    first = every.groupBy(*key).agg(F.min("id").alias("rep"))
+    # Written, so that the join below has plain exchanges on both sides and Spark can split a hot text.
+    first = materialize(every.groupBy(*key).agg(F.min("id").alias("rep")), "firsts")
     rep = materialize(every.select("id", *key).join(first, key).select("id", "t1", "rep"), "copies")
     texts = every.join(rep.where("id = rep").select("id", "t1").distinct(), ["id", "t1"], "left_semi").dropDuplicates(["id"])
     roots = materialize(components(links(texts, docs)), "roots")
