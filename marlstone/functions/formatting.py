@@ -45,7 +45,7 @@ def _cut(v: Column, places: int) -> Column:
 def bytes_text(n: Column) -> Column:
     """Decimal units; one decimal under ten of a unit."""
     n = n.cast("double")
-    e = F.least(F.floor(F.log(F.lit(10.0), F.greatest(n, F.lit(1.0))) / 3 + F.lit(1e-12)), F.lit(len(_UNITS) - 1)).cast("int")
+    e = F.least(F.floor(F.log10(F.greatest(n, F.lit(1.0))) / 3 + F.lit(1e-12)), F.lit(len(_UNITS) - 1)).cast("int")
     value = F.floor(n / F.pow(F.lit(1000.0), e) * 10 + 0.5) / 10
     unit = F.element_at(F.array(*[F.lit(u) for u in _UNITS]), e + 1)
     big = F.concat_ws(" ", F.when(value < 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value)), unit)
@@ -109,6 +109,10 @@ def width_of(text: str | None) -> int | None:
     return None if text is None else len(_ESCAPE.sub("", unicodedata.normalize("NFKC", text)))
 
 
-@F.pandas_udf("int")
-def text_width(text: pd.Series) -> pd.Series:
+def _widths(text: pd.Series) -> pd.Series:
     return text.map(width_of).astype("Int32")
+
+
+def text_width(text: Column) -> Column:
+    """Normalization isn't a built-in function: an Arrow UDF."""
+    return F.pandas_udf(_widths, "int")(text)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import NEIGHBORS
+from ..shared import materialize
 from .vectorize import bucket
 
 SCHEMA = "idx long, ref_id long, label string, distance double"
@@ -115,8 +116,8 @@ def _blocks(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self:
     cores = spark.sparkContext.defaultParallelism
     rb = max(1, -(-n_refs // _REFS), min(cores, n_refs // 2_000))
     qb = max(1, -(-n_queries // _QUERIES), min(-(-cores // rb), n_queries // 500))
-    q = queries.select(*on, "idx", "vector", F.pmod(F.xxhash64("idx"), F.lit(qb)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
-    r = refs.select(*on, "ref_id", "vector", "label", F.pmod(F.xxhash64("ref_id"), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).cast("long").alias("qb"))
+    q = queries.select(*on, "idx", "vector", F.pmod(F.xxhash64("idx"), F.lit(qb)).cast("long").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+    r = refs.select(*on, "ref_id", "vector", "label", F.pmod(F.xxhash64("ref_id"), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("qb"))
     key = [*on, "qb", "rb"]
     return q.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(_search(metric, k, skip_self), SCHEMA)
 
@@ -131,18 +132,17 @@ def _join(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self: b
 
 
 def _buckets(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    q = queries.withColumn("bucket", bucket(F.col("vector")))
-    near = _blocks(q, refs.withColumn("bucket", bucket(F.col("vector"))), k, "l2", skip_self, ["bucket"])
-    near = ranked(near, k)
+    queries, refs = (materialize(df.withColumn("bucket", bucket(F.col("vector")))) for df in (queries, refs))
+    near = materialize(ranked(_blocks(queries, refs, k, "l2", skip_self, ["bucket"]), k), "near")
     final = near.groupBy("idx").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).where((F.col("n") == k) & (F.col("far") < 1)).select("idx")
-    rest = queries.join(final, "idx", "left_anti")
+    rest = materialize(queries.join(final, "idx", "left_anti"), "rest")
     return near.drop("rank").join(final, "idx", "left_semi").unionByName(_blocks(rest, refs, k, "l2", skip_self))
 
 
 def _pivots(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self: bool, pivots: int, seed: int) -> DataFrame:
     if metric not in ("l2", "l1"):
         raise ValueError("pivots needs a metric with the triangle inequality")
-    spark = refs.sparkSession
+    refs = materialize(refs, "refs")
     n = refs.count()
     m = max(1, min(pivots, int(math.sqrt(n))))
     drawn = refs.select("ref_id", "vector").orderBy(F.xxhash64("ref_id", F.lit(seed)), "ref_id").limit(m).collect()
@@ -156,7 +156,7 @@ def _pivots(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self:
             yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1)) if len(pdf) else pdf.assign(cell=np.zeros(0, np.int32), far=np.zeros(0))
 
     celled = refs.select("ref_id", "vector", "label").mapInPandas(home, "ref_id long, vector array<double>, label string, cell int, far double")
-    celled = celled.where(F.col("far") < float("inf"))
+    celled = materialize(celled.where(F.col("far") < float("inf")), "cells")
     stats = {r["cell"]: (r["far"], r["n"]) for r in celled.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
     radius = np.array([stats.get(i, (-np.inf, 0))[0] for i in range(m)])
     count = np.array([stats.get(i, (0, 0))[1] for i in range(m)])
@@ -183,6 +183,7 @@ def _cells(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    refs = materialize(refs, "refs")
     n = refs.count()
     cells = max(1, min(cells, n // 2))
     sample = refs.sample(min(1.0, 50_000 / max(1, n)), seed).select(array_to_vector("vector").alias("features"))
@@ -204,18 +205,14 @@ def _cells(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self:
 
 def _hashes(queries: DataFrame, refs: DataFrame, metric: str, skip_self: bool, width: float, tables: int, seed: int) -> DataFrame:
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed)
     r = refs.select("ref_id", "label", F.col("vector").alias("rv"), array_to_vector("vector").alias("features"))
     model = lsh.fit(r)
     bucketed = lambda df: model.transform(df).drop("features").select("*", F.posexplode("hashes").alias("t", "h")).drop("hashes")
-    value = lambda c: F.transform(F.col(c), lambda x: x)
-    from pyspark.ml.functions import vector_to_array
-
     a = bucketed(queries.select("idx", F.col("vector").alias("qv"), array_to_vector("vector").alias("features"))).withColumn("h", vector_to_array("h"))
     b = bucketed(r).withColumn("h", vector_to_array("h"))
-    del value
     pairs = a.join(b, ["t", "h"]).select("idx", "ref_id", "label", distance(metric, F.col("qv"), F.col("rv")).alias("distance"))
     pairs = pairs.where(F.col("distance").isNotNull() & ~F.isnan("distance") & (F.lit(not skip_self) | (F.col("idx") != F.col("ref_id"))))
     return pairs.dropDuplicates(["idx", "ref_id"])
@@ -285,7 +282,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int = NEIGHBORS, metric: str = "
     elif plan == "hashes":
         found = _hashes(q, r, metric, skip_self, how.get("width", 1.0), how.get("tables", 4), how.get("seed", 1))
     elif plan == "graph":
-        found = _graph(q, r, k, metric, skip_self, how.get("links", 12), how.get("width", 64))
+        found = _graph(q, r, k, metric, skip_self, how.get("links", 12), how.get("breadth", 64))
     else:
         raise ValueError(f"no such plan: {plan}")
     return ranked(found, k)

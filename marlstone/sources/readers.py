@@ -14,7 +14,7 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
     Position is the identity: `id` isn't unique.
     """
     text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.posexplode(F.from_json(F.ltrim(F.lit("﻿"), "value"), f"array<struct<{_fields(schemas.PAYLOAD)}>>")).alias("pos", "p"))
+    parsed = text.select(F.posexplode(F.from_json(F.ltrim("value", F.lit("\ufeff")), f"array<struct<{_fields(schemas.PAYLOAD)}>>")).alias("pos", "p"))
     return parsed.select(F.col("pos").cast("long").alias("idx"), "p.*").withColumn("malformed", F.col("id").isNull() & F.col("transaction").isNull())
 
 
