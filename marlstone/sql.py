@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 _PAIRS = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN label < 5 THEN 'fraud' ELSE 'legit' END AS label FROM embeddings),
-near AS (SELECT a.vec_id AS idx, b.vec_id AS ref_id, b.label, {d} AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+near AS (SELECT a.vec_id AS idx, b.vec_id AS ref_id, b.label, {d} AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, ref_id) AS rank FROM near QUALIFY rank <= {k})"""
 _L2 = "list_distance(a.v, b.v)"
 
@@ -17,18 +17,6 @@ decided AS (SELECT idx, count(*) FILTER (label = 'fraud') AS votes, round(count(
   round(count(*) FILTER (label = 'fraud') / 5.0::DOUBLE * 10000) / 10000 < 0.6::DOUBLE AS approved FROM top GROUP BY idx)"""
 _ROWS = "SELECT idx, CAST(rank AS INT) AS rank, ref_id, label, round(d, 6) AS d FROM top"
 
-_JUDGED = f"""{_DECIDED},
-answers AS (SELECT idx, CASE WHEN idx % 41 <> 0 THEN approved END AS approved, CASE WHEN idx % 31 = 0 THEN 503 ELSE 200 END AS status, CAST(idx * 37 % 2100 AS DOUBLE) AS ms FROM decided WHERE idx % 50 <> 7),
-judged AS (SELECT x.vec_id AS idx, CASE
-    WHEN r.idx IS NULL OR r.ms > 2001 OR r.status <> 200 THEN 'err'
-    WHEN x.label >= 5 AND coalesce(r.approved, false) THEN 'tn'
-    WHEN x.label < 5 AND r.approved = false THEN 'tp'
-    WHEN coalesce(r.approved, false) THEN 'fn' ELSE 'fp' END AS class
-  FROM embeddings x LEFT JOIN answers r ON x.vec_id = r.idx),
-counts AS (SELECT {", ".join(f"count(*) FILTER (class = '{c}') AS {c}" for c in ("tp", "tn", "fp", "fn", "err"))} FROM judged),
-errs AS (SELECT *, tp + tn + fp + fn + err AS n, fp + 3 * fn + 5 * err AS weighted_errors, fp + fn + err AS failures, (fp + 3 * fn + 5 * err)::DOUBLE / (tp + tn + fp + fn + err) AS epsilon, (fp + fn + err)::DOUBLE / (tp + tn + fp + fn + err) AS failure_rate FROM counts)"""
-
-
 def _p99_score(x: str) -> str:
     return f"CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} > 2000 THEN -3000.0 ELSE 1000 * log10(1000.0 / greatest({x}, 1)) END"
 
@@ -74,6 +62,24 @@ _EXACT = (
     _clamp("(merchant_avg * 20 / 10000::DOUBLE)"),
 )
 _VECTOR = f"{_HISTORY}, vec AS (SELECT event_id, {', '.join(f'{_round(x)} AS d{i}' for i, x in enumerate(_EXACT))} FROM t)"
+_EVENT_TOP = f"""{_VECTOR}, e2 AS (SELECT event_id, [{', '.join(f'd{i}' for i in range(14))}] AS v, CASE WHEN d12 >= 0.75 THEN 'fraud' ELSE 'legit' END AS label FROM vec),
+      near AS (SELECT a.event_id AS idx, b.event_id AS ref_id, b.label, {' + '.join(f'(a.v[{i}] - b.v[{i}]) * (a.v[{i}] - b.v[{i}])' for i in range(1, 15))} AS d FROM e2 a JOIN e2 b ON a.event_id <> b.event_id WHERE a.event_id % 20 = 0),
+      top AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, ref_id) AS rank FROM near QUALIFY rank <= 5)"""
+_EVENT_DECIDED = f"""{_EVENT_TOP},
+decided AS (SELECT idx, count(*) FILTER (label = 'fraud') AS votes, round(count(*) FILTER (label = 'fraud') / 5.0::DOUBLE * 10000) / 10000 AS fraud_score,
+  round(count(*) FILTER (label = 'fraud') / 5.0::DOUBLE * 10000) / 10000 < 0.6::DOUBLE AS approved FROM top GROUP BY idx)"""
+_JUDGED = f"""{_EVENT_DECIDED},
+answers AS (SELECT idx, CASE WHEN idx // 20 % 41 <> 0 THEN approved END AS approved, CASE WHEN idx // 20 % 31 = 0 THEN 503 ELSE 200 END AS status, CAST(idx // 20 * 37 % 2100 AS DOUBLE) AS ms FROM decided WHERE idx // 20 % 50 <> 7),
+judged AS (SELECT x.event_id AS idx, CASE
+    WHEN r.idx IS NULL OR r.ms > 2001 OR r.status <> 200 THEN 'err'
+    WHEN x.label = 'legit' AND coalesce(r.approved, false) THEN 'tn'
+    WHEN x.label = 'fraud' AND r.approved = false THEN 'tp'
+    WHEN coalesce(r.approved, false) THEN 'fn' ELSE 'fp' END AS class
+  FROM e2 x LEFT JOIN answers r ON x.event_id = r.idx WHERE x.event_id % 20 = 0),
+counts AS (SELECT {", ".join(f"count(*) FILTER (class = '{c}') AS {c}" for c in ("tp", "tn", "fp", "fn", "err"))} FROM judged),
+errs AS (SELECT *, tp + tn + fp + fn + err AS n, fp + 3 * fn + 5 * err AS weighted_errors, fp + fn + err AS failures, (fp + 3 * fn + 5 * err)::DOUBLE / (tp + tn + fp + fn + err) AS epsilon, (fp + fn + err)::DOUBLE / (tp + tn + fp + fn + err) AS failure_rate FROM counts)"""
+
+
 _KINDS = "CASE json_type(props, '{0}') WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE CASE WHEN json_type(props, '{0}') IS NULL THEN 'invalid' ELSE 'number' END END"
 
 
@@ -104,8 +110,7 @@ _WORDS = "words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(p_name
 SQL: dict[str, str] = {
     "q01_vector_score": f"WITH {_DECIDED} SELECT idx, votes, fraud_score, approved FROM decided",
     "q02_knn_l2": f"WITH {_top()} {_ROWS}",
-    "q02b_knn_l2_join": f"WITH {_top()} {_ROWS}",
-    "q02c_knn_l2_pivots": f"WITH {_top()} {_ROWS}",
+    "q02b_knn_l2_pivots": f"WITH {_top()} {_ROWS}",
     "q03_knn_l1": f"WITH {_top('list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))')} {_ROWS}",
     "q04_knn_cosine": f"WITH {_top('list_cosine_distance(a.v, b.v)')} {_ROWS}",
     "q05_knn_majority": f"WITH {_top(k=3)} SELECT idx, round(avg((label = 'fraud')::INT), 6) AS share, avg((label = 'fraud')::INT) > 0.5 AS fraud FROM top GROUP BY idx",
@@ -118,7 +123,7 @@ SQL: dict[str, str] = {
     "q12_unknown_merchant": f"WITH {_HISTORY} SELECT event_id, unknown FROM t",
     "q13_mcc_risk": f"SELECT event_id, {_RISK} AS by_map, CASE event_type WHEN 'purchase' THEN 0.85 WHEN 'signup' THEN 0.45 WHEN 'error' THEN 0.75 WHEN 'click' THEN 0.15 ELSE 0.5 END::DOUBLE AS by_join FROM events",
     "q14_event_vector": f"WITH {_VECTOR} SELECT * FROM vec",
-    "q15_stats": f"""WITH {_DECIDED}, s AS (SELECT count(*) AS total, count(*) FILTER (NOT approved) AS fraud_count, count(*) FILTER (approved) AS legit_count, count(*) FILTER (fraud_score = 0.6::DOUBLE) AS edge_case_count FROM decided)
+    "q15_stats": f"""WITH {_EVENT_DECIDED}, s AS (SELECT count(*) AS total, count(*) FILTER (NOT approved) AS fraud_count, count(*) FILTER (approved) AS legit_count, count(*) FILTER (fraud_score = 0.6::DOUBLE) AS edge_case_count FROM decided)
       SELECT *, {_round('fraud_count / total::DOUBLE')} AS fraud_rate, {_round('legit_count / total::DOUBLE')} AS legit_rate, {_round('edge_case_count / total::DOUBLE')} AS edge_case_rate FROM s""",
     "q16_confusion": f"WITH {_JUDGED} SELECT * FROM counts",
     "q17_weighted_errors": f"WITH {_JUDGED} SELECT n, weighted_errors, failures, round(epsilon, 9) AS epsilon, floor(failure_rate * 1e6 + 0.5) / 1e6::DOUBLE AS failure_rate FROM errs",
@@ -147,9 +152,7 @@ SQL: dict[str, str] = {
     "q28_formats": f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN {_NUMBER} = floor({_NUMBER}) THEN printf('%.0f', {_NUMBER}) ELSE {_trim(f"printf('%.10f', {_NUMBER})")} END AS number,
       {_DURATION} AS duration, {_BYTES} AS bytes, printf('%.2f', floor(l_tax * 100 * 100) / 100::DOUBLE) || '%' AS percent FROM lineitem""",
     "q28b_names": f"""SELECT p_partkey, CASE WHEN contains(n, '{{') THEN '{{ ' || p_type || ' }}' ELSE n END AS shown, CASE WHEN contains(n, '{{') THEN '  ' ELSE '' END AS indent, {_ESCAPED} AS escaped, CAST(length(n) AS INT) AS width FROM (SELECT *, {_NAME} AS n FROM part)""",
-    "q29_buckets": f"""WITH {_VECTOR}, e2 AS (SELECT event_id, [{', '.join(f'd{i}' for i in range(14))}] AS v, CASE WHEN d12 >= 0.75 THEN 'fraud' ELSE 'legit' END AS label FROM vec),
-      near AS (SELECT a.event_id AS idx, b.event_id AS ref_id, b.label, {' + '.join(f'(a.v[{i}] - b.v[{i}]) * (a.v[{i}] - b.v[{i}])' for i in range(1, 15))} AS d FROM e2 a JOIN e2 b ON a.event_id <> b.event_id WHERE a.event_id % 20 = 0),
-      top AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, ref_id) AS rank FROM near QUALIFY rank <= 5)
+    "q29_buckets": f"""WITH {_EVENT_TOP}
       SELECT idx, CAST(rank AS INT) AS rank, ref_id, label, round(sqrt(d), 6) AS d FROM top""",
     "q30_streaming_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "q31_sql_functions": f"""SELECT l_orderkey, l_linenumber, l_partkey, {_round('l_extendedprice / 33333::DOUBLE')} AS r4, {_clamp('(l_extendedprice / 50000 - 0.2::DOUBLE)')} AS c, {_round('l_discount * 10', 2)} < 0.6::DOUBLE AS ok, (l_orderkey - l_partkey) / 60::DOUBLE AS m FROM lineitem""",
