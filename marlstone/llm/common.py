@@ -1,56 +1,27 @@
-"""Helpers shared by the corpus operators: table reading and lineage cuts."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialize as materialize
+
 #: Words in every contract here are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back.
-
-    Compressed and column-pruned, so cheaper than an RDD checkpoint, and it survives
-    lost executors. The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def cleanup() -> None:
-    """Delete what materialize() wrote; a stopped context leaves the files to the cluster."""
-    while _written:
-        spark, path = _written.pop()
-        sc = spark.sparkContext
-        if sc._jsc is None or sc._jsc.sc().isStopped():
-            continue
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: Python objects of long texts then take little memory at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def n_words(text: Column) -> Column:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WINDOW, POPULAR = 32, 8
 LEAST_BITS = 2.0
 BITS, HASHES, PER_FILTER = 2048, 5, 160
@@ -224,7 +226,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             total += histogram(batch.column(0).to_pylist())
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["c", "n"])
@@ -282,7 +284,7 @@ def fingerprint(docs: DataFrame, rows_a_part: int = 1000, most_parts: int = 10_0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, look, ids_, texts, made = [], [], [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             part += batch.column(0).to_pylist()
             look += batch.column(1).to_pylist()
             ids_ += batch.column(2).to_pylist()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, slices, small
 from .components import components
 from .shingles import jaccard, mix, multisets
 
@@ -93,14 +93,15 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     darts = _DARTS
     while len(todo):
         at = 0
-        while at < len(todo):  # some texts at a time, about a million darts
+        while at < len(todo):  # some texts at a time, about 250,000 darts
             end, size = at, 0.0
-            while end < len(todo) and (end == at or size < 1e6):
+            while end < len(todo) and (end == at or size < 2.5e5):
                 size += max(total[todo[end]], darts)
                 end += 1
             some = todo[at:end]
             bound = np.minimum(darts / total[some], 4095.0)
             text, cell, part = [], [], []
+            fractions = any(sets[k][1].dtype.kind == "f" for k in some)
             for i, k in enumerate(some):
                 h, w = sets[k]
                 cells = np.ceil(w).astype(np.int64)
@@ -108,13 +109,13 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
                 nth = np.arange(len(first)) - first
                 cell.append(mix(np.repeat(h, cells) + nth.astype(np.uint64) * _GOLD) if len(first) > len(h) else mix(h))
                 text.append(np.full(len(first), i))
-                if w.dtype.kind == "f":
+                if fractions:
                     part.append(np.minimum(1.0, np.repeat(w, cells) - nth))
             got = np.full((len(some), K), _EMPTY)
             text, cell = np.concatenate(text), np.concatenate(cell)
             part = np.concatenate(part) if part else None
-            for lo in range(0, len(text), 1 << 20):
-                hi = lo + (1 << 20)
+            for lo in range(0, len(text), 1 << 18):
+                hi = lo + (1 << 18)
                 _throw(text[lo:hi], cell[lo:hi], bound, got, None if part is None else part[lo:hi])
             out[some] = got
             at = end
@@ -143,22 +144,20 @@ def sketch(docs: DataFrame) -> DataFrame:
     """id, t1, t2, t3 (the text's hashes), weight, bands, bytes (one a coordinate) for each row with text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(4).to_pylist()
-            for lo in range(0, len(texts), 512):
-                sets = list(multisets(texts[lo : lo + 512]))
-                sig = signatures(sets)
-                some = np.array([len(h) > 0 for h, _ in sets], bool)
-                bands, low = _bands(sig), (sig & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(lo, 512) for k in range(4)),
-                        pa.array([int(w.sum()) for _, w in sets], pa.int64()),
-                        pa.array([b if s else None for b, s in zip(bands, some, strict=True)], pa.list_(pa.int64())),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
-                    ],
-                    ["id", "t1", "t2", "t3", "weight", "bands", "bytes"],
-                )
+        for batch in slices(batches):
+            sets = list(multisets(batch.column(4).to_pylist()))
+            sig = signatures(sets)
+            some = np.array([len(h) > 0 for h, _ in sets], bool)
+            bands, low = _bands(sig), (sig & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k) for k in range(4)),
+                    pa.array([int(w.sum()) for _, w in sets], pa.int64()),
+                    pa.array([b if s else None for b, s in zip(bands, some, strict=True)], pa.list_(pa.int64())),
+                    pa.array([x.tobytes() for x in low], pa.binary()),
+                ],
+                ["id", "t1", "t2", "t3", "weight", "bands", "bytes"],
+            )
 
     rows = docs.where(F.col("text").isNotNull()).select(_ident(F.col("doc_id"), F.col("text")).alias("id"), *_key(F.col("text")), "text")
     return rows.mapInArrow(run, "id long, t1 long, t2 int, t3 int, weight long, bands array<long>, bytes binary")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _MULT = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
