@@ -187,7 +187,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, sample: int = FIT, t
 
     placed = materialize(kept.select("vec_id", "v").mapInArrow(place, "vec_id long, v binary, list int"), "index")
     queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "v", *key)
-    asked = queries.groupBy("k1", "k2").agg(F.min("query_id").alias("q"), F.min(F.struct("query_id", "v")).alias("s")).select("k1", "k2", "q", F.col("s.v").alias("v"))
+    asked = queries.groupBy("k1", "k2").agg(F.min(F.struct("query_id", "v")).alias("s")).select("k1", "k2", F.monotonically_increasing_id().alias("q"), F.col("s.v").alias("v"))
 
     def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
