@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """df, for Arrow: batches of its session hold few rows and bytes from now on.
+
+    The JVM keeps the direct memory of the largest batches for good, and texts are long.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = conf.get(key, None)
+        number = int(re.match(r"-?[0-9]+", now)[0]) if now else 0
+        if number <= 0 or number > most or (now and not now.rstrip("b").isdigit()):
+            conf.set(key, str(most))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices: Python objects of long texts then take little memory at a time."""
     for batch in batches:

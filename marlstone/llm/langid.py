@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import slices
+from .common import slices, whole_texts
 
 
 PER_LANG, SAMPLE = 1000, 8000
@@ -203,7 +203,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, seed: int = 17) -> Model:
     """Learn from text and lang of the rows of docs that aren't held out."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    known = whole_texts(docs).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return Model([])
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = shared.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return whole_texts(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
@@ -262,4 +262,4 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
                 keep = [bool(t and _LETTER.search(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small
+from .common import materialize, slices, small, whole_texts
 from .components import components
 from .shingles import jaccard, mix, multisets
 
@@ -159,7 +159,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 ["id", "t1", "t2", "t3", "weight", "bands", "bytes"],
             )
 
-    rows = docs.where(F.col("text").isNotNull()).select(_ident(F.col("doc_id"), F.col("text")).alias("id"), *_key(F.col("text")), "text")
+    rows = whole_texts(docs).where(F.col("text").isNotNull()).select(_ident(F.col("doc_id"), F.col("text")).alias("id"), *_key(F.col("text")), "text")
     return rows.mapInArrow(run, "id long, t1 long, t2 int, t3 int, weight long, bands array<long>, bytes binary")
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_texts
+
 CAPACITY, SEGMENTS = 1024, 256
 GROUP = 4096
 END = 0
@@ -67,7 +69,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None)
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECE)
+    return whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECE)
 
 
 def pack(items: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
