@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +37,28 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package, wherever the driver found it; once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return spark
+    _shipped.add(sc.applicationId)
+    top = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    path = f"{shared_dir(spark)}/{top.name}-{uuid.uuid4().hex}.zip"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(hadoop)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    _written.append((spark, path))
+    sc.addPyFile(fs.makeQualified(hadoop).toString())
+    return spark
+
+
 @atexit.register
 def cleanup() -> None:
     """Delete what materialize() wrote; a stopped context leaves the files to the cluster."""
