@@ -374,6 +374,29 @@ def test_lexicon():
     assert known.tolist() == [3, 0, 1] and logp == pytest.approx([-4, 0, -2]) and others[1:] == [[], []]
 
 
+def test_fitted_windows_grow_with_the_corpus(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [(i, prose(rng, "en", 60)) for i in range(400)] + [(400, prose(rng, "de", 3000))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    windows = lambda t: -(-(len(lm.ids_of(lm.words_of(t))) + 1) // lm.STRIDE)
+    # A long text has all its windows, far more than lm.WINDOWS of them.
+    assert lm.sample_windows(df.where("doc_id = 400"), 1).count() == windows(texts[400][1]) > 2 * lm.WINDOWS
+    few = [lm.sample_windows(df.where(F.col("doc_id") < n), n, most=5, share=4).count() for n in (100, 400)]
+    assert few[1] > 2.5 * few[0] > 0
+    every = df.where("doc_id < 400")
+    seen, keys, n = lm.window_stats(lm.sample_windows(every, 400, most=400))
+    ids = np.concatenate([[*lm.ids_of(lm.words_of(t)), lm.END] for _, t in texts[:400]])
+    assert (seen[: lm.END] == np.bincount(ids, minlength=lm.VOCAB)[: lm.END]).all() and n.sum() >= 2 * len(ids)
+    # What the driver doesn't start on is trained on by the tasks.
+    monkeypatch.setattr(lm, "WINDOWS", 4)
+    monkeypatch.setattr(lm, "_TASK", 50)
+    done, real = [], lm.train_on
+    monkeypatch.setattr(lm, "train_on", lambda w, total, p, *model: (done.append((total, p["U"].copy())), real(w, total, p, *model), done.append(p["U"])))
+    model = lm.learn(every, 400, np.bincount(ids, minlength=lm.VOCAB), np.zeros((0, 0)), np.zeros(0, np.int64), most=20, share=1)
+    assert done[0][0] == sum(windows(t) for _, t in texts[:400]) and np.abs(done[0][1] - done[1]).max() > 1e-4
+    assert np.isfinite(model.scores([ids[:50]])).all()
+
+
 # the pipeline and the registry
 
 
