@@ -12,7 +12,8 @@ ties. Distances that aren't numbers never enter.
   the other queries go to `blocks`.
 - pivots: exact, for the metrics l2 and l1. References belong to their nearest pivot, each pivot
   knows its radius, and the triangle inequality leaves out the pivots that can't hold a neighbor.
-- cells: approximate. k-means cells, the `probes` nearest of which are searched.
+- cells: approximate. k-means cells, the nearest of which are searched: `probes` of them, or as many
+  more as give RECALL for CALIBRATE queries drawn by hash, whose true neighbors `blocks` finds.
 - hashes: approximate. Bucketed random projections.
 - graph: approximate. A navigable neighbor graph a block, walked greedily.
 """
@@ -36,6 +37,7 @@ SCHEMA = "idx long, ref_id long, label string, distance double"
 _REFS, _QUERIES = 65_536, 4_096
 _FEW = 10_000
 _CELLS = 1 << 22
+RECALL, CALIBRATE = 0.95, 256
 
 
 def distance(metric: str, a: Column, b: Column, dims: int | None = None) -> Column:
@@ -199,8 +201,18 @@ def _cells(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self:
         return run
 
     r = refs.select("ref_id", "vector", "label").mapInPandas(near(1), "ref_id long, vector array<double>, label string, cell array<int>").withColumn("cell", F.get("cell", F.lit(0)))
+    r = materialize(r, "cells")
+    m = queries.count()
+    # The place of a true neighbor's cell in its query's order of cells is the number of probes that finds it.
+    some = queries.orderBy(F.xxhash64("idx", F.lit(seed)), "idx").limit(CALIBRATE)
+    true = ranked(_blocks(some, refs, k, metric, skip_self, None, n, min(m, CALIBRATE)), k)
+    order = some.mapInPandas(near(len(centers)), "idx long, vector array<double>, cell array<int>").select("idx", F.col("cell").alias("cells"))
+    place = true.join(r.select("ref_id", "cell"), "ref_id").join(order, "idx").select(F.array_position("cells", F.col("cell")).alias("p"))
+    places = np.sort([x["p"] for x in place.collect()])
+    if len(places):
+        probes = max(probes, int(places[math.ceil(RECALL * len(places)) - 1]))
     q = queries.select("idx", "vector").mapInPandas(near(min(probes, len(centers))), "idx long, vector array<double>, cell array<int>").withColumn("cell", F.explode("cell"))
-    return _blocks(q, r, k, metric, skip_self, ["cell"], n, max(1, queries.count()))
+    return _blocks(q, r, k, metric, skip_self, ["cell"], n, max(1, m))
 
 
 def _hashes(queries: DataFrame, refs: DataFrame, metric: str, skip_self: bool, width: float, tables: int, seed: int) -> DataFrame:

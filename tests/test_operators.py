@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone import generate, report, schemas
+from marlstone import generate, queries, report, schemas
 from marlstone.cli import parser
 from marlstone.operators import evaluate as E
 from marlstone.operators import knn as N
@@ -18,6 +19,7 @@ from marlstone.plans import scoring
 from marlstone.sources import readers, writers
 from marlstone.streaming import scorer
 
+SF = "/root/testdata/sf0.1"
 LEGIT = {
     "id": "tx-1", "transaction": {"amount": 41.12, "installments": 2, "requested_at": "2026-03-11T18:45:53Z"},
     "customer": {"avg_amount": 82.24, "tx_count_24h": 3, "known_merchants": ["MERC-003", "MERC-016"]},
@@ -82,6 +84,12 @@ def test_approximate_plans(spark, plan):
     assert N.recall(found, N.knn(q, r, 5, skip_self=True)) > 0.7
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", ["q40_knn_cells", "q41_knn_hashes", "q42_knn_graph"])
+def test_recall_as_registered(spark, name):
+    assert N.recall(queries.QUERIES[name](spark, SF), queries.QUERIES["q02_knn_l2"](spark, SF)) >= 0.9
+
+
 def test_nan_and_few_references(spark):
     r = spark.createDataFrame([(0, [1.0, 2.0], "fraud"), (1, [float("nan"), 0.0], "legit")], "ref_id long, vector array<double>, label string")
     q = spark.createDataFrame([(7, [1.0, 1.0]), (8, [float("nan"), 1.0])], "idx long, vector array<double>")
