@@ -7,8 +7,8 @@ All of it is DataFrame functions; a row is read once and no row leaves its parti
   the same spans as the plain forms in time linear in the text.
 - A validator drops proposals: parts of an address at most 255, Luhn for cards, mod 97 for
   IBANs, digit counts for phones. Dropped ones aren't tried again from a later start.
-- Each kind has a base score in percent; a context word within 40 characters before the span
-  adds CONTEXT. Kinds that the method adds (`iban`, `phone_local`) need LEAST; the four base
+- Each kind has a base score in percent; a context word within the 40 characters of the text
+  before the span, whatever else is found there, adds CONTEXT. Kinds that the method adds (`iban`, `phone_local`) need LEAST; the four base
   kinds are always kept.
 
 Positions are in code points, end exclusive. Null text counts as empty. Empty tables give empty
@@ -54,16 +54,21 @@ def _mod97(x: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), step)
 
 
+#: Lengths of IBANs by country (ISO 13616), for those printed in groups of four.
+_IBANS = {15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC", 33: "RU"}
+_GROUPED = "|".join(rf"(?:{c})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _IBANS.items())
+_IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[1-9])?"
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m, p: F.lit(True), 70, "mail|contact|kontakt|correo|courriel|write to"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+", ".", lambda m, p: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), 60, "host|server|address|adresse|login"),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", "", lambda m, p: F.length(_digits(m)).between(13, 19) & F.call_function("luhn_check", _digits(m)), 80, "card|visa|karte|carte|tarjeta|credit|kredit"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", lambda m, p: F.length(_digits(m)).between(9, 15), 60, "tel|phone|call|fax|mobile|handy"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "", lambda m, p: _mod97(m) == 1, 80, "iban|account|konto|compte|cuenta|bank"),
+    Kind("iban", rf"(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_GROUPED})(?![A-Z0-9])|{_IBAN}", "", lambda m, p: _mod97(F.replace(m, F.lit(" "))) == 1, 80, "iban|account|konto|compte|cuenta|bank"),
     Kind("phone_local", r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", "(", lambda m, p: ~p.rlike(r"\+[0-9]{1,3} $"), 40, "tel|phone|call|fax|mobile|handy"),
 )
 BASE = ("email", "ip", "card", "phone")
+_LABEL = f"<(?:{'|'.join(k.name.upper() for k in KINDS)})>"
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -92,6 +97,14 @@ def _before(lengths: Column) -> Column:
     return _let(F.struct(lengths.alias("v"), F.ceil(F.sqrt(F.size(lengths))).cast("int").alias("width")), blocks)
 
 
+def _ahead(x: Column, i: Column) -> Column:
+    """The last NEAR code points of the text before proposal i. A proposal has two at least, so NEAR / 2 pieces reach back far enough."""
+    p, back = F.get(x["pieces"], i), NEAR // 2
+    some = lambda a: F.slice(a, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back)))
+    parts = F.zip_with(some(x["pieces"]), some(x["found"]), lambda q, m: F.right(F.concat(q, m), F.lit(NEAR)))
+    return F.right(F.when(F.length(p) >= NEAR, p).otherwise(F.concat(F.array_join(parts, ""), p)), F.lit(NEAR))
+
+
 def _spans(kind: Kind, text: Column) -> Column:
     """array<struct<start, end, score>> of the kind's confirmed spans."""
     pattern = F.lit(kind.pattern)
@@ -105,7 +118,7 @@ def _spans(kind: Kind, text: Column) -> Column:
             def span(m: Column, i: Column) -> Column:
                 p = F.get(x["pieces"], i)
                 start = F.get(a, i) + F.length(p)
-                near = F.lower(F.right(p, F.lit(NEAR))).rlike(kind.context)
+                near = F.lower(_ahead(x, i)).rlike(kind.context)
                 score = F.lit(kind.score) + F.when(near, CONTEXT).otherwise(0)
                 ok = kind.valid(m, p) & (F.lit(kind.name in BASE) | (score >= LEAST))
                 return F.when(ok, F.struct(start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score")))
@@ -145,7 +158,8 @@ def _redacted_kind(kind: Kind, text: Column) -> Column:
     def swap(x: Column) -> Column:
         def put(m: Column, i: Column) -> Column:
             p = F.get(x["pieces"], i)
-            near = F.lower(F.right(p, F.lit(NEAR))).rlike(kind.context)
+            # What was put in for other kinds is no word of the text.
+            near = F.lower(F.regexp_replace(_ahead(x, i), _LABEL, "")).rlike(kind.context)
             sure = F.lit(kind.name in BASE) | (F.lit(kind.score) + F.when(near, CONTEXT).otherwise(0) >= LEAST)
             return F.when(kind.valid(m, p) & sure, F.lit(f"<{kind.name.upper()}>")).otherwise(m)
 
@@ -177,6 +191,7 @@ _PLAIN = {
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": _IBAN,
 }
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _SQL_VALID = {
@@ -202,7 +217,7 @@ def _sql_kind(i: int, kind: Kind) -> str:
   WHERE {_SQL_VALID[kind.name]}{keep}"""
 
 
-#: DuckDB, with the plain patterns.
+#: DuckDB, with the plain patterns. It looks for context after the last proposal only, and for IBANs without blanks.
 ORACLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 spans AS ({" UNION ALL ".join(_sql_kind(i, k) for i, k in enumerate(KINDS))}),
 said AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in BASE)},

@@ -264,3 +264,17 @@ def test_checks_and_context(spark):
     out = pii.redact(kept).orderBy("doc_id").collect()
     assert out[0]["text"] == "mail <EMAIL> now, <PHONE> and <IP>!" and out[0]["n_chars"] == len(out[0]["text"]) and out[1]["text"] is None
     assert math.isclose(pii.CONTEXT, 20)
+
+
+def test_context_of_lists_and_printed_ibans(spark):
+    numbers = ["(555) 123-4567", "(555) 765-4321", "(555) 222-3333"]
+    text = f"call {numbers[0]} or {numbers[1]}, {numbers[2]}; DE89 3704 0044 0532 0130 00 AND GB82 WEST 1234 5698 7654 33, GB82 WEST 1234 5698 7654 32"
+    far = "no hint here (555) 123-4567 or (555) 765-4321"
+    df = spark.createDataFrame([(1, text), (2, far), (3, "+1 (974) 555-3436 or (555) 765-4321")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    span = lambda kind, s: f"{kind}:{text.index(s)}:{text.index(s) + len(s)}"
+    assert found[1].split(",") == [span("iban", "DE89 3704 0044 0532 0130 00"), span("iban", "GB82 WEST 1234 5698 7654 32"), *[span("phone_local", n) for n in numbers]]
+    assert found[2] == "" and found[3] == "phone:0:17"
+    out = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert out[1] == "call <PHONE_LOCAL> or <PHONE_LOCAL>, <PHONE_LOCAL>; <IBAN> AND GB82 WEST 1234 5698 7654 33, <IBAN>"
+    assert out[2] == far and out[3] == "<PHONE> or (555) 765-4321"
