@@ -309,14 +309,27 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs, all columns as they were, with one row of each class: that of the smallest doc_id."""
-    found = materialize(classes(docs), "classes")
-    gone = materialize(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = materialize(again, "again")
+    """docs, all columns as they were, with one row of each class: that of the smallest doc_id, null last.
+
+    A row is known by the hash of doc_id and text, so no row goes because another has its doc_id. Rows
+    alike in both are copies; rows without either stay.
+    """
+    some = F.col("doc_id").isNotNull() | F.col("text").isNotNull()
+    # A stand-in for docs, whose doc_id tells rows apart that differ in doc_id or text.
+    rows = docs.where(some).select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    found = materialize(classes(rows.select("doc_id", "text")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
+    named = found.join(rows.select("own", "doc_id").distinct(), "doc_id")
+    best = F.min(F.struct(F.col("own").isNull().alias("no"), F.col("own").alias("own"), F.col("doc_id").alias("id")))
+    first = named.groupBy("class_id").agg(best.alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("class_id").alias("c"), F.col("b.id").alias("stays"))
+    first = materialize(first, "firsts")
+    gone = found.join(small(first, first.count()), F.col("class_id") == F.col("c")).where("doc_id <> stays").select(F.col("doc_id").alias("_row_id"))
+    gone = materialize(gone, "gone")
+    kept = docs.where(some).withColumn("_row_id", F.xxhash64("doc_id", "text")).join(small(gone, gone.count()), "_row_id", "left_anti")
+    out = docs.where(~some)
+    again = found.where("n > 1").select(F.col("doc_id").alias("_row_id"))
     n = again.count()
-    if not n:
-        return kept
-    twice = kept.join(small(again, n), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(small(again, n), "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+    if n:
+        again = small(materialize(again, "again"), n)
+        out = out.unionByName(kept.join(again, "_row_id", "left_semi").dropDuplicates(["_row_id"]).select(*docs.columns))
+        kept = kept.join(again, "_row_id", "left_anti")
+    return kept.select(*docs.columns).unionByName(out)

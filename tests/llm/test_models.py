@@ -180,6 +180,17 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.classes(empty).count() == 0 and neardup.deduplicate(empty).count() == 0
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(12)
+    base, near, other, third = prose(rng, "en", 200), prose(rng, "de", 200), prose(rng, "fr", 200), prose(rng, "es", 200)
+    rows = [(None, base, "en", "a"), (None, base, "en", "a"), (7, base, "en", "a"), (None, edited(rng, base, 2), "en", "a")]  # one class
+    rows += [(1, near, "de", "a"), (1, other, "fr", "a"), (2, edited(rng, other, 2), "fr", "a"), (1, None, None, "a")]  # a shared id
+    rows += [(None, third, "es", "a"), (None, third, "es", "a"), (None, None, "en", "a"), (None, None, "en", "b"), (2, near, "de", "a")]
+    kept = neardup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = [(7, base), (1, near), (1, other), (1, None), (None, third), (None, None), (None, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
+
+
 def test_tiles_agree_with_one_tile(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_TILE", 7)
     rows = near_corpus()
