@@ -32,5 +32,7 @@ def components(links: DataFrame, most_turns: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"the components did not settle in {most_turns} turns")
     roots = edges.select(e("u").alias("node"), e("v").alias("root"))
     return roots.unionByName(edges.select(e("v").alias("node"), e("v").alias("root")).distinct())

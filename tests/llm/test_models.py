@@ -239,6 +239,12 @@ def test_components(spark):
     assert all(root == top(n) for n, root in got.items()) and {n for n in above if top(n) != n} <= set(got)
 
 
+def test_unsettled_components_are_no_result(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settle"):
+        components.components(edges, most_turns=1)
+
+
 # nearest neighbours
 
 
