@@ -15,11 +15,12 @@ from marlstone.llm import langid, mixing, neardup, packing, pii
 from marlstone.llm.common import materialize, table
 
 #: Documents whose language is less certain than this are rejected; so are those without a letter.
+#: With the four languages of the tables no score of lettered text is that low.
 LEAST_LANGUAGE_SCORE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language that the labelled ones teach."""
+    """Rejects null and letterless text. Text in a language that the labelled ones don't teach stays: with few languages no score is below 0.25."""
     return langid.keep_known(docs, langid.train(docs), LEAST_LANGUAGE_SCORE)
 
 
