@@ -4,16 +4,18 @@ Every item is a vector (tokens, segments, loss-bearing tokens); a sequence is a
 limit on each. One bin is open at a time. Among the item classes that still fit, the next is
 the one whose vector has the largest weighted dot product with the bin's free room; each
 dimension is weighed by how scarce it is (total demand over the bin's limit). Items are dealt
-into groups by a hash of what they are, and groups are packed apart from each other; only a
-group's last bins stay unfilled, so padding falls with the group size.
-
-Documents are cut every `capacity` tokens; the full pieces fill a sequence each, and the rest
-of each document is packed. Conversations are packed whole up to the limit; only assistant
-turns bear loss.
-
-Null text is an empty document (its end id alone). Very long texts become many pieces, dealt
-over the groups. Repeated rows are packed each on their own, equal items in any order. Empty
-tables give empty results. Extra columns are ignored.
+into groups of about GROUP by the number of their row, and groups are packed apart from each
+other; only a group's last bins stay unfilled, so padding falls with the group size.
+
+Documents are cut every `capacity` tokens; a full piece is a sequence by itself and is moved
+no further, and the rest of each document is packed. Conversations are packed whole up to the
+limits, one over a limit alone; only assistant turns bear loss.
+
+Null text is an empty document (its end id alone). The string of the vocabulary's special token
+becomes that token's id, as the tokenizer has it. Very long texts become many full pieces and
+one rest. Repeated rows are packed each on their own, equal items in any order; rows are dealt
+by number, so equal ones make no large group. Ties between equally good items go to the
+smaller vector. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_texts
+from .common import materialize, whole_texts
 
 CAPACITY, SEGMENTS = 1024, 256
+#: Limits of sequences of conversations: tokens, segments, loss-bearing tokens.
+CONVERSATIONS = (4096, 8, 3072)
 GROUP = 4096
 END = 0
+#: Fixed value: the vocabulary's special token and its id.
+SPECIAL = {"<|endoftext|>": 50_256}
 
 
 @cache
@@ -44,12 +50,12 @@ def encoder(ranks: str | None = None):
 
     with open(ranks or public.path("byte_bpe_50k.tiktoken"), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
 
 
 def ids_of(text: str | None, ranks: str | None = None) -> np.ndarray:
     """The document's ids (little-endian uint32), its end id last."""
-    return np.append(encoder(ranks).encode_to_numpy(text or ""), END).astype("<u4")
+    return np.append(encoder(ranks).encode_to_numpy(text or "", allowed_special="all"), END).astype("<u4")
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -115,10 +121,14 @@ def pack(items: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def pack_items(items: DataFrame, n_items: int, limits: tuple[int, int, int], group: int = GROUP) -> DataFrame:
-    """items with sequence_id and offset added. items needs `tokens` and `loss` (int columns); each is one segment."""
+def pack_items(items: DataFrame, limits: tuple[int, int, int], group: int = GROUP) -> DataFrame:
+    """items with sequence_id and offset added. items needs `tokens` and `loss` (int columns); each is one segment.
+
+    items are written first: rows are dealt by their number, which must not change when a task is run again.
+    """
     names = items.columns
-    groups = max(1, -(-n_items // group))
+    items = materialize(items, "items")
+    groups = max(1, -(-items.count() // group))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,8 +137,7 @@ def pack_items(items: DataFrame, n_items: int, limits: tuple[int, int, int], gro
         bins, at = pack(v, limits)
         return pdf[names].assign(sequence_id=(int(key[0]) << 32) + bins, offset=at)
 
-    plain = [F.col(f"`{f.name}`") for f in items.schema if f.dataType.typeName() not in ("array", "map", "struct")]
-    dealt = items.withColumn("_group", F.pmod(F.xxhash64(*plain), F.lit(groups)))
+    dealt = items.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(run, schema)
 
 
@@ -137,18 +146,25 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, segments: int = SE
 
     All ids of a piece but the first bear loss.
     """
-    cut = pieces(docs, capacity, ranks).withColumns({"tokens": F.col("length"), "loss": F.col("length") - 1})
-    return pack_items(cut, docs.count(), (capacity, segments, capacity)).drop("tokens", "loss")
+    cut = materialize(pieces(docs, capacity, ranks), "pieces")
+    rests = cut.where(F.col("length") < capacity).withColumns({"tokens": F.col("length"), "loss": F.col("length") - 1})
+    full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return full.unionByName(pack_items(rests, (capacity, segments, capacity)).drop("tokens", "loss"))
 
 
 def conversation_items(turns: DataFrame, ranks: str | None = None) -> DataFrame:
-    """conv_id, tokens, loss for each conversation; assistant turns bear loss. Null text or role: no tokens, no loss."""
+    """conv_id, turns, tokens, loss for each conversation; assistant turns bear loss. Null text or role: no tokens, no loss."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(ids_of(t, ranks)) if t is not None else 0 for t in b.column(2).to_pylist()]
+            n = [len(ids_of(t.as_py(), ranks)) if t.is_valid else 0 for t in b.column(2)]
             loss = [x if r == "assistant" else 0 for x, r in zip(n, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], ["conv_id", "tokens", "loss"])
 
-    one = turns.select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(count, "conv_id long, tokens long, loss long")
-    return one.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+    one = whole_texts(turns).select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(count, "conv_id long, tokens long, loss long")
+    return one.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+
+
+def pack_conversations(turns: DataFrame, limits: tuple[int, int, int] = CONVERSATIONS, ranks: str | None = None) -> DataFrame:
+    """conv_id, turns, tokens, loss, sequence_id, offset for each conversation of turns (conv_id, role, text)."""
+    return pack_items(conversation_items(turns, ranks), limits)

@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -56,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_ann, op4_langid, op5_digest, op6_sharding, op7_neardup, op8_lm, op9_urlfilter, op10_pii)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_ann, op4_langid, op5_digest, op6_sharding, op7_neardup, op8_lm, op9_urlfilter, op10_pii, packing_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
