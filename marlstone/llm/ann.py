@@ -16,9 +16,9 @@
 
 Lists and the queries that probe them are joined in blocks of bounded size. Vectors that are
 null, zero, or hold null or non-finite components take no part, neither do null vec_ids or
-vectors of another than the most frequent dimension. Rows that share a vec_id are candidates
-each, but never each other's. Ties go to the smaller vec_id. Empty tables give empty
-results. Extra columns are ignored.
+vectors of another than the most frequent dimension. Only the query's own row is no candidate:
+other rows with its vec_id are, equal vectors or not. Ties go to the smaller vec_id. Empty tables
+give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from pyspark.sql import Window as W
 from .common import materialize
 
 FIT, CALIBRATE, TARGET = 16_384, 256, 0.97
-MOST_LISTS = 2048
+#: Sampled vectors a list, at least: so the sample's size is what bounds the number of lists.
+_A_LIST = 8
 STRIDE, EPSILON = 16, 2.1
 _CANDIDATES, _QUERIES = 8192, 2048
 _PAIRS = 1 << 20
@@ -99,8 +100,7 @@ def fit(x: np.ndarray, longest: float, rows: int, k: int, seed: int = 3) -> Inde
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d + 1, d + 1)))[0].astype(np.float32)
     index = Index(d, longest, rotation, np.zeros((1, d + 1), np.float32), np.zeros((0, d + 1), np.float32), k)
     index.sample = index.turn(x)
-    lists = 1 if rows < 2000 else min(MOST_LISTS, int(rows**0.5), len(x))
-    index.centroids = kmeans(index.sample, lists) if lists > 1 else index.sample.mean(axis=0, keepdims=True)
+    index.centroids = kmeans(index.sample, max(1, min(int(rows**0.5), len(x) // _A_LIST)))
     return index
 
 
@@ -204,15 +204,17 @@ def search(table: DataFrame, is_query: Column, k: int = 20, sample: int = FIT, t
         plain = Index(**{**vars(index), "probes": len(index.centroids), "sample": index.sample[:0], "home": None})
         found = found.join(short.select("q"), "q", "left_anti").unionByName(_scan(placed, short, plain, kind))
     # k + 1 entries a query at most.
-    each = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
+    each = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score", "same"))).alias("found"))
     hits = asked.select("k1", "k2", "q").join(each, "q").select("k1", "k2", "found")
     own = queries.select("query_id", "k1", "k2").join(hits, ["k1", "k2"])
-    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    # Rows alike in vec_id and vector can't be told apart: the first of them stands for the query's own.
+    at = F.array_position(F.transform("found", lambda x: x["same"] & (x["vec_id"] == F.col("query_id"))), True)
+    others = F.slice(F.filter("found", lambda x, i: i + 1 != at), 1, k)
     return own.select("query_id", F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
 def _scan(placed: DataFrame, asked: DataFrame, index: Index, kind: str) -> DataFrame:
-    """q, vec_id, score, r: the k + 1 nearest candidates found in the lists that each query probes."""
+    """q, vec_id, score, same, r: the k + 1 nearest candidates found in the lists that each query probes; same: whether the vectors are equal."""
     spark, k = placed.sparkSession, index.k
     sent = spark.sparkContext.broadcast(index)
 
@@ -227,7 +229,7 @@ def _scan(placed: DataFrame, asked: DataFrame, index: Index, kind: str) -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), b.column(1).take(pa.array(each)), pa.array(lists.ravel(), pa.int32()), pa.array(bound)], ["q", "v", "list", "bound"])
 
     probes = materialize(asked.select("q", "v").mapInArrow(probe, "q long, v binary, list int, bound double"), "probes")
-    # Blocks of each list: at most MOST_LISTS rows on the driver.
+    # Blocks of each list: one row a list on the driver.
     many: dict[int, list[int]] = {}
     for i, (df, most) in enumerate(((placed, _CANDIDATES), (probes, _QUERIES))):
         for r in df.groupBy("list").count().collect():
@@ -238,16 +240,17 @@ def _scan(placed: DataFrame, asked: DataFrame, index: Index, kind: str) -> DataF
 
     def block(c: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(a):
-            return pd.DataFrame({"q": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({"q": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "same": np.zeros(0, bool)})
         x, y = _vectors(c["v"].tolist(), kind), _vectors(a["qv"].tolist(), kind)
         q, i = scan(sent.value.turn(x), sent.value.turn(y, True), a["bound"].to_numpy(np.float32))
         score = np.concatenate([_inner(x[i[s : s + 65536]], y[q[s : s + 65536]]) for s in range(0, len(q), 65536)]) if len(q) else np.zeros(0)
         ids = c["vec_id"].to_numpy()
         top = best(q, ids[i], score, k + 1)
-        return pd.DataFrame({"q": a["q"].to_numpy()[q[top]], "vec_id": ids[i[top]], "score": score[top]})
+        same = (x[i[top]] == y[q[top]]).all(axis=1)
+        return pd.DataFrame({"q": a["q"].to_numpy()[q[top]], "vec_id": ids[i[top]], "score": score[top], "same": same})
 
     grid = ["list", "cb", "qb"]
-    found = cand.groupBy(*grid).cogroup(ask.groupBy(*grid)).applyInPandas(block, "q long, vec_id long, score double")
+    found = cand.groupBy(*grid).cogroup(ask.groupBy(*grid)).applyInPandas(block, "q long, vec_id long, score double, same boolean")
     top = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
 
