@@ -14,6 +14,18 @@ from ..shared import materialize as materialize
 #: Words in every contract here are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Those names, with underscores before each until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,3 +58,15 @@ def n_words(text: Column) -> Column:
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """A broadcast hint, given only when the counted rows are few; else Spark joins by shuffle."""
     return F.broadcast(df) if rows <= most else df
+
+
+def numbered(rows: DataFrame, alike: str, nth: str, most: int, block: int = 4096) -> DataFrame:
+    """Each row of rows as often as its column `alike` (at most `most`) says, numbered from 0 in a column `nth`.
+
+    A row that stands for very many is spread over tasks by blocks of them.
+    """
+    first = "_first_" + nth
+    spread = rows.withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(alike) - 1, F.lit(block).cast("long"))))
+    if most > block:
+        spread = spread.repartition(F.xxhash64(*[c for c in rows.columns if c != alike], first))
+    return spread.withColumn(nth, F.explode(F.sequence(F.col(first), F.least(F.col(first) + block, F.col(alike)) - 1))).drop(first, alike)

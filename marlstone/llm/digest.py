@@ -12,23 +12,25 @@ filter of the other, normalised: 0 is what chance gives, 1 is all bits of the em
 A text without features (shorter than a window, or monotonous) has its hash as its only one.
 An empty or null text has none; two such are alike (1), such and another are not (0). Very
 long texts are cut into overlapping segments, which changes nothing in the result. Equal
-texts have equal digests. Repeated rows count each on its own; rows with equal doc_id follow
-one another in the order of a hash of their text, and null doc_ids come last. Empty tables
-give empty results. Extra columns are ignored.
+texts have equal digests. Rows with equal doc_id follow one another in the order of a hash of their
+text, and null doc_ids come last; so rows alike in both follow one another, and each but the last has
+its own text as the next. Where these are many, one stands for all. Empty tables give empty results.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_texts
+from .common import materialize, numbered, slices, small, whole_texts
 
 WINDOW, POPULAR = 32, 8
 LEAST_BITS = 2.0
@@ -247,66 +249,94 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint(docs: DataFrame, rows_a_part: int = 1000, most_parts: int = 10_000) -> DataFrame:
+def _part_of(cuts: list[int], k: Column, h: Column) -> Column:
+    """The part of a row (k, h): the number of cuts up to k. A k that is d cuts at once has d parts, which its rows share by h."""
+    if not cuts:
+        return F.lit(0)
+    wide = max(1, int(len(cuts) ** 0.5))
+    # One literal each after constant folding, however many cuts there are.
+    flat, coarse = (F.split(F.lit(",".join(map(str, c))), ",").cast("array<bigint>") for c in (cuts, cuts[::wide]))
+
+    def count(holds) -> Column:
+        group = F.size(F.filter(coarse, holds))
+        return F.when(group == 0, F.lit(0)).otherwise((group - 1) * wide + F.size(F.filter(F.slice(flat, (group - 1) * wide + 1, F.lit(wide)), holds)))
+
+    upto = count(lambda c: c <= k)
+    if len(set(cuts)) == len(cuts):
+        return upto
+    below = count(lambda c: c < k)
+    share = F.floor((h / F.lit(2.0**64) + 0.5) * (upto - below))
+    return F.when(upto - below < 2, upto).otherwise(below + 1 + F.least(share, upto - below - 1)).cast("int")
+
+
+def fingerprint(docs: DataFrame, rows_a_part: int = 1000) -> DataFrame:
     """SCHEMA for each row of docs, ascending doc_id; the last is followed by the first.
 
-    The texts are shuffled once, into parts that are ranges of doc_id; the first row of each
-    part goes to the part before it as well, which needs it as the next document.
+    The texts are shuffled once, into parts that are ranges of doc_id (of the text's hash, where one
+    doc_id has many rows); the first row of each part goes to the part before it as well, which needs it
+    as the next document. Parts are streamed, not held; of n rows there are at most sqrt(n) parts, as
+    the driver knows their bounds.
     """
     spark = docs.sparkSession
     rank = rarity(docs)
     n = docs.count()
-    parts = max(1, min(most_parts, n // rows_a_part))
+    parts = max(1, min(n // rows_a_part, int(n**0.5)))
     last = F.lit((1 << 63) - 1)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("k"))
-    cuts = sorted(set(ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] or [])) if parts > 1 else []
-    wide = max(1, int(len(cuts) ** 0.5))
-    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + wide]]) for i in range(0, len(cuts), wide)]) if cuts else None
-
-    def part_of(k):
-        if fine is None:
-            return F.lit(0)
-        group = F.size(F.filter(F.lit([c for c in cuts[::wide]]), lambda c: c <= k))
-        return F.when(group == 0, F.lit(0)).otherwise((group - 1) * wide + F.size(F.filter(F.get(fine, group - 1), lambda c: c <= k)))
-
-    firsts = sorted((r["part"], r["k"]) for r in ids.groupBy(part_of(F.col("k")).alias("part")).agg(F.min("k").alias("k")).collect())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), last).alias("k"), F.xxhash64("text").alias("h"), F.lit(1).cast("long").alias("alike"), "text")
+    cuts = sorted(rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] or []) if parts > 1 else []
+    hot = [c for c, d in Counter(cuts).items() if d > 1]
+    if hot:
+        # One row stands for the many that are alike in doc_id and text.
+        key = ["k", "h"]
+        many = rows.where(F.col("k").isin(hot)).groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > rows_a_part).select(*key)
+        many = small(materialize(many, "many"), n // rows_a_part)
+        one = rows.join(many, key, "left_semi").groupBy("doc_id", *key).agg(F.sum("alike").alias("alike"), F.first("text").alias("text"))
+        rows = rows.join(many, key, "left_anti").unionByName(one)
+        rows = materialize(rows, "rows")
+    part = _part_of(cuts, F.col("k"), F.col("h"))
+    firsts = sorted((r["part"], r["f"]["k"], r["f"]["h"]) for r in rows.groupBy(part.alias("part")).agg(F.min(F.struct("k", "h")).alias("f")).collect())
     if not firsts:
         return spark.createDataFrame([], SCHEMA)
-    ahead = spark.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "first long, before int")
+    ahead = spark.createDataFrame([(k, h, firsts[i - 1][0]) for i, (_, k, h) in enumerate(firsts)], "first_k long, first_h long, before int")
+    place = lambda p, look: F.struct(p.alias("part"), F.lit(look).alias("look"))
+    own, also = place(F.col("part"), 0), place(F.col("before"), 1)
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), last).alias("k"), "text")
-        .join(F.broadcast(ahead), F.col("k") == F.col("first"), "left")
-        .withColumn("part", part_of(F.col("k")))
-        .withColumn("p", F.explode(F.when(F.col("before").isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("look")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("look")), F.struct(F.col("before").alias("part"), F.lit(1).alias("look"))))))
-        .select("p.part", "p.look", "doc_id", "k", "text")
+        rows.join(F.broadcast(ahead), (F.col("k") == F.col("first_k")) & (F.col("h") == F.col("first_h")), "left")
+        .withColumn("part", part.cast("int"))
+        .withColumn("p", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))))
+        .select("p.part", "p.look", "doc_id", "k", "h", "alike", "text")
     )
     sent = spark.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, look, ids_, texts, made = [], [], [], [], []
+        part, look, ids_, alike, texts, made = [], [], [], [], [], []
         for batch in slices(batches):
             part += batch.column(0).to_pylist()
             look += batch.column(1).to_pylist()
             ids_ += batch.column(2).to_pylist()
-            new = [t or "" for t in batch.column(3).to_pylist()]
+            alike += batch.column(3).to_pylist()
+            new = [t or "" for t in batch.column(4).to_pylist()]
             texts += new
             made += digests(new, sent.value)
-            pairs = [i for i in range(len(texts) - 1) if not look[i] and part[i] == part[i + 1]]
-            changed = [edited(texts[i], texts[i + 1]) for i in pairs]
+            own = [i for i in range(len(texts) - 1) if not look[i] and part[i] == part[i + 1]]
+            pairs = [(i, i + 1, 1) for i in own] + [(i, i, alike[i] - 1) for i in own if alike[i] > 1]
+            changed = [edited(texts[i], texts[j]) for i, j, _ in pairs]
             after = digests(changed, sent.value)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids_[i] for i in pairs], pa.int64()),
-                    pa.array([len(texts[i]) for i in pairs], pa.int64()),
+                    pa.array([ids_[i] for i, _, _ in pairs], pa.int64()),
+                    pa.array([len(texts[i]) for i, _, _ in pairs], pa.int64()),
                     pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed], pa.string()),
-                    pa.array([str(made[i]) for i in pairs], pa.string()),
+                    pa.array([str(made[i]) for i, _, _ in pairs], pa.string()),
                     pa.array([str(d) for d in after], pa.string()),
-                    pa.array([likeness(made[i], d) for i, d in zip(pairs, after, strict=True)], pa.float64()),
-                    pa.array([likeness(made[i], made[i + 1]) for i in pairs], pa.float64()),
+                    pa.array([likeness(made[i], d) for (i, _, _), d in zip(pairs, after, strict=True)], pa.float64()),
+                    pa.array([likeness(made[i], made[j]) for i, j, _ in pairs], pa.float64()),
+                    pa.array([m for _, _, m in pairs], pa.int64()),
                 ],
-                [f.split()[0] for f in SCHEMA.split(", ")],
+                [*(f.split()[0] for f in SCHEMA.split(", ")), "times"],
             )
-            part, look, ids_, texts, made = part[-1:], look[-1:], ids_[-1:], texts[-1:], made[-1:]
+            part, look, ids_, alike, texts, made = part[-1:], look[-1:], ids_[-1:], alike[-1:], texts[-1:], made[-1:]
 
-    dealt = rows.repartition("part").sortWithinPartitions("part", "look", "k", F.xxhash64("text"))
-    return dealt.select("part", "look", "doc_id", "text").mapInArrow(run, SCHEMA)
+    dealt = rows.repartition("part").sortWithinPartitions("part", "look", "k", "h")
+    found = dealt.select("part", "look", "doc_id", "alike", "text").mapInArrow(run, SCHEMA + ", times long")
+    return numbered(found, "times", "nth", n).drop("nth") if hot else found.drop("times")

@@ -9,9 +9,12 @@ independently and leave two fractional documents each; these fly again, chunk by
 until one chunk a source is left. Its flight stops at LANDING fractional documents; they are
 the landing problem, and of its corners the one nearest to the balanced words is taken.
 
-Null or blank text has size 0. A null source is a source like others, last in order. Empty
-tables give empty results. Repeated rows are taken each on its own. Documents fly
-in the order of a hash of doc_id, so reruns agree. Extra columns are kept by `mix` and ignored by `plan`.
+Null or blank text has size 0; a very long one is one document like others, whose size the landing
+balances. A null source is a source like others, last in order. Empty tables give empty results.
+Documents fly in the order of a hash of doc_id, ties (null or repeated ids) by a hash of the row, so
+reruns agree. Repeated rows are counted first, then numbered and taken each on its own, so they are
+dealt over the chunks like others. Extra columns, whatever their names, are kept by `mix` and ignored
+by `plan`.
 """
 
 from __future__ import annotations
@@ -20,26 +23,28 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import materialize, n_words, small
+from .common import fresh, materialize, n_words, numbered, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CHUNK = 4096
 LANDING = 14
+#: Rows alike that are numbered in one task, about.
+_ALIKE = 20_000
 _EPS = 1e-9
 
 
 def targets(docs: DataFrame, budget: float = 1.5, weights: tuple = WEIGHTS, most: float = 2.0) -> DataFrame:
-    """source, source_size, n, target for each source of docs (source, size).
+    """source, source_size, n, target for each source of docs (source, size, alike: how many rows a row stands for).
 
     Sources by code point, null last, weigh `weights` in turn and share budget * all sizes;
     none gets more than most * its size, and the excess is shared again by weight.
     """
-    per = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    per = docs.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.sum("alike").alias("n"))
     # One row a source. Ranking without a partition sorts in one task: rows are (name, two numbers).
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
@@ -95,7 +100,7 @@ def land(size: list[float], p: list[float]) -> None:
 
 def _flight(seed: int, turn: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "row"], kind="stable")
+        pdf = pdf.sort_values(["h", "row", "nth"], kind="stable")
         size, p = pdf["size"].astype(float).tolist(), pdf["p"].tolist()
         fly(size, p, random.Random(f"{seed}:{turn}:{key[0]}:{int(key[1])}"), LANDING if last else 2)
         if last:
@@ -108,17 +113,19 @@ def _flight(seed: int, turn: int, last: bool):
 def plan(docs: DataFrame, budget: float = 1.5, weights: tuple = WEIGHTS, most: float = 2.0, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken, row for every row of docs (doc_id, text, source).
 
-    `row` numbers the rows of the scan; `mix` joins on it.
+    `row` is equal for rows alike in doc_id, text and source; `mix` joins on it.
     """
-    rows = materialize(_numbered(docs).select("row", "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h")), "sizes")
+    seen = docs.select(_row(docs).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
+    rows = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("alike")), "sizes")
     per = materialize(targets(rows, budget, weights, most), "targets")
     known = per.agg(F.count(F.lit(1)), F.max("n")).first()
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     chunks = F.ceil(F.col("n") / F.lit(CHUNK))
     state = (
-        rows.withColumnRenamed("source", "_s")
+        numbered(rows, "alike", "nth", rows.agg(F.max("alike")).first()[0] or 0)
+        .withColumnRenamed("source", "_s")
         .join(small(per, known[0]), F.col("_s").eqNullSafe(F.col("source")))
-        .select("row", "doc_id", "source", "size", "h", "source_size", "target", F.floor(r).cast("int").alias("base"), (r - F.floor(r)).alias("p"), F.pmod(F.xxhash64("h", "row"), chunks).alias("chunk"))
+        .select("row", "nth", "doc_id", "source", "size", "h", "source_size", "target", F.floor(r).cast("int").alias("base"), (r - F.floor(r)).alias("p"), F.pmod(F.xxhash64("h", "row", "nth"), chunks).alias("chunk"))
     )
     schema = T.StructType([*state.schema.fields])
     settled, left, turn = None, -(-(known[1] or 1) // CHUNK), 0
@@ -134,21 +141,35 @@ def plan(docs: DataFrame, budget: float = 1.5, weights: tuple = WEIGHTS, most: f
     return settled.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", F.xxhash64("doc_id", "text", "source"))
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64("doc_id", "text", "source")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: every row of docs as often as the plan takes it, columns as they were.
 
-    Identical rows (doc_id, text and source alike) share a row number; their copies are summed
-    and shared out among them.
+    Rows alike in doc_id, text and source share `row`; their copies are summed and shared out among them.
     """
-    chosen = plan(docs, **how).groupBy("row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_alike"))
-    alike = W.partitionBy("_row").orderBy(F.lit(0))
-    rows = _numbered(docs.withColumnRenamed("row", "_kept_row") if "row" in docs.columns else docs).withColumnRenamed("row", "_row")
-    out = rows.join(chosen.withColumnRenamed("row", "_row"), "_row")
-    nth = F.when(F.col("_alike") > 1, F.row_number().over(alike)).otherwise(F.lit(1))
-    times = F.floor(F.col("_copies") / F.col("_alike")) + F.when(nth <= F.col("_copies") % F.col("_alike"), 1).otherwise(0)
-    names = [("_kept_row" if c == "row" else c, c) for c in docs.columns]
-    return out.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{a}`").alias(b) for a, b in names])
+    row, chosen_row, copies, alike, nth, part, before, t = fresh(docs, "row", "chosen", "copies", "alike", "nth", "part", "before", "t")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = plan(docs, **how).groupBy("row").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(alike)).withColumnRenamed("row", chosen_row)
+    chosen = materialize(chosen, "chosen")
+    keyed = docs.select(*own, _row(docs).alias(row))
+    on = F.col(row) == F.col(chosen_row)
+    times = lambda df, n: df.select(*own, F.explode(F.sequence(F.lit(1), n.cast("int"))).alias(t)).select(*own)
+    # The narrow side is hashed, so texts are not sorted.
+    once = keyed.join(chosen.where(F.col(alike) == 1).where(F.col(copies) > 0).hint("shuffle_hash"), on)
+    out = times(once, F.col(copies))
+    again = chosen.where(F.col(alike) > 1)
+    seen = again.agg(F.count(F.lit(1)), F.max(alike)).first()
+    if not seen[0]:
+        return out
+    # Rows alike are numbered in parts of a group, so that a large one is in no single task.
+    parts = -(-seen[1] // _ALIKE)
+    few = materialize(keyed.join(small(again, seen[0]), on).withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))), "alike")
+    ahead = W.partitionBy(row).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = few.groupBy(row, part).count().select(row, part, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias(before))
+    number = F.row_number().over(W.partitionBy(row, part).orderBy(F.lit(0))) + F.col(before)
+    ranked = few.join(offsets, [row, part]).withColumn(nth, number)
+    share = F.floor(F.col(copies) / F.col(alike)) + F.when(F.col(nth) <= F.col(copies) % F.col(alike), 1).otherwise(0)
+    return out.unionByName(times(ranked.withColumn(copies, share).where(F.col(copies) > 0), F.col(copies)))

@@ -10,19 +10,21 @@ similarity of theirs is at least THRESHOLD, and classes are the components of th
    in inverse proportion to the total weight are thrown, so a text costs its number of
    shingles or K ln K darts, whichever is more; if a coordinate stays empty the bound doubles.
 3. ROWS coordinates make a band. A band's bucket has a leader; each member is held against it.
-4. Buckets in which some member isn't linked to the leader, and that still span components,
-   are compared in full in tiles of bounded size, in numpy on signatures of one byte a
-   coordinate. A tile returns links that join components, each pair once over all bands.
-5. Pairs are judged by signature where that is beyond doubt (four standard deviations), else by
-   the exact similarity of the whole texts.
+4. Buckets that still span components get a new leader, for TURNS turns; a member is held against
+   it unless they share a component by then. A turn is linear in the buckets.
+5. What spans components even so is compared in full, in tiles of bounded size: all members outside
+   the bucket's largest component against each other and against that component. Tiles see
+   signatures of one byte a coordinate only, each pair once over all bands.
+6. Pairs are judged by signature where that is beyond doubt (four standard deviations), else by
+   the exact similarity of the whole texts, which are fetched for doubtful pairs only.
 
 So no pair of a bucket is left untested except within a component. A pair at exactly 0.8 shares
 no bucket with probability 0.0006, at 0.85 under 0.00001.
 
-Null texts are classes of their own; wordless texts link to equal ones only. A row with a null
-doc_id takes part under a stand-in below zero, drawn from its text. Repeated rows are copies.
-Very long texts are cut at white space while they are hashed. Empty tables give empty results.
-Extra columns are ignored by `classes` and kept by `deduplicate`.
+Null texts are classes of their own; wordless texts link to equal ones only. Ids decide nothing but
+a class's name: texts are told apart by hashes, so null and repeated doc_ids do no harm. Repeated
+rows are copies. Very long texts are cut at white space while they are hashed. Empty tables give
+empty results. Extra columns are ignored by `classes` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small, whole_texts
+from .common import fresh, materialize, slices, small, whole_texts
 from .components import components
 from .shingles import jaccard, mix, multisets
 
@@ -50,7 +52,8 @@ _POISSON32 = (np.minimum(_POISSON, 1 - 2**-33) * 2**32).astype(np.uint32)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SIGMA = math.sqrt(THRESHOLD * (1 - THRESHOLD) / K)
 SURE, HOPELESS = THRESHOLD + 4 * _SIGMA, THRESHOLD - 4 * _SIGMA
-_TILE = 2048
+TURNS = 2
+_TILE = 1024
 
 
 def _throw(text: np.ndarray, cell: np.ndarray, bound: np.ndarray, out: np.ndarray, weight: np.ndarray | None = None) -> None:
@@ -132,20 +135,19 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _ident(doc_id: Column, text: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), -F.abs(F.shiftright(F.xxhash64(text), 1)) - 1)
-
-
 def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"), F.length(text).alias("t3")]
 
 
+KEY = ["t1", "t2", "t3"]
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """id, t1, t2, t3 (the text's hashes), weight, bands, bytes (one a coordinate) for each row with text."""
+    """id (the row's number), doc_id, t1, t2, t3 (the text's hashes; null without text), weight, bands, bytes (one a coordinate) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = list(multisets(batch.column(4).to_pylist()))
+        for batch in slices(batches, 256):
+            sets = list(multisets([t or "" for t in batch.column(4).to_pylist()]))
             sig = signatures(sets)
             some = np.array([len(h) > 0 for h, _ in sets], bool)
             bands, low = _bands(sig), (sig & np.uint64(255)).astype(np.uint8)
@@ -154,13 +156,15 @@ def sketch(docs: DataFrame) -> DataFrame:
                     *(batch.column(k) for k in range(4)),
                     pa.array([int(w.sum()) for _, w in sets], pa.int64()),
                     pa.array([b if s else None for b, s in zip(bands, some, strict=True)], pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in low], pa.binary()),
+                    pa.array([x.tobytes() if s else None for x, s in zip(low, some, strict=True)], pa.binary()),
                 ],
-                ["id", "t1", "t2", "t3", "weight", "bands", "bytes"],
+                ["doc_id", *KEY, "weight", "bands", "bytes"],
             )
 
-    rows = whole_texts(docs).where(F.col("text").isNotNull()).select(_ident(F.col("doc_id"), F.col("text")).alias("id"), *_key(F.col("text")), "text")
-    return rows.mapInArrow(run, "id long, t1 long, t2 int, t3 int, weight long, bands array<long>, bytes binary")
+    text = F.col("text")
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long"), *[F.when(text.isNotNull(), k).alias(n) for k, n in zip(_key(text), KEY, strict=True)], "text")
+    made = rows.mapInArrow(run, "doc_id long, t1 long, t2 int, t3 int, weight long, bands array<long>, bytes binary")
+    return made.select(F.monotonically_increasing_id().alias("id"), "*")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,17 +174,18 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _texts(ids: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """id, text of the texts that ids names."""
-    ids = materialize(ids.distinct(), "ids")
-    n = ids.count()
-    texts = docs.where(F.col("text").isNotNull()).select(_ident(F.col("doc_id"), F.col("text")).alias("id"), "text").join(small(ids, n), "id", "left_semi")
-    # A repeated doc_id can have several texts; the sketch's own is the one with its hash.
-    own = sketches.select("id", "t1").join(small(ids, n), "id", "left_semi")
-    return materialize(texts.join(own, "id").where(F.xxhash64("text") == F.col("t1")).select("id", "text").dropDuplicates(["id"]), "texts")
+    keys = materialize(sketches.select("id", *KEY).join(ids.distinct(), "id", "left_semi"), "keys")
+    text = docs.where(F.col("text").isNotNull()).select(*_key(F.col("text")), "text")
+    # Copies collapse before they are shuffled.
+    return materialize(text.join(small(keys, keys.count()), KEY).select("id", "text").dropDuplicates(["id"]), "texts")
+
+
+def _side(sketches: DataFrame, s: str) -> DataFrame:
+    return sketches.select(F.col("id").alias(s), F.col("weight").alias("w" + s), F.col("bytes").alias("s" + s))
 
 
 def _judge(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b) that are links."""
-    side = lambda s: sketches.select(F.col("id").alias(s), F.col("weight").alias("w" + s), F.col("bytes").alias("s" + s))
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +197,7 @@ def _judge(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(guess >= SURE).filter(keep)], ["a", "b", "sure"])
 
     near = F.least("wa", "wb") >= F.lit(THRESHOLD) * F.greatest("wa", "wb")
-    guessed = pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long, sure boolean")
+    guessed = pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").where(near).select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long, sure boolean")
     guessed = materialize(guessed, "guessed")
     doubt = guessed.where(~F.col("sure"))
     texts = _texts(doubt.select(F.explode(F.array("a", "b")).alias("id")), sketches, docs)
@@ -214,9 +219,32 @@ def _judge(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     return guessed.where("sure").select("a", "b").unionByName(checked)
 
 
+class _Forest:
+    """Components that grow together."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def top(self, c: int) -> int:
+        above = self.above
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.top(a), self.top(b)
+        if x != y:
+            self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+_PAIRS = "band long, lo int, hi int, a long, b long, ca long, cb long, guess double"
+
+
 def _tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join components of a tile's members, enough to join all that can be: the likeliest pairs first,
-    and none between members that are joined by then. A pair belongs to the first band its members share."""
+    """Of a tile's members by signature: the sure links that join components (guess 1), the likeliest first, and the
+    doubtful pairs between what is apart then. A pair belongs to the first band its members share."""
     lo, hi = int(key[1]), int(key[2])
     pdf = pdf.reset_index(drop=True)
     ids, comp, w, block = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["weight"].to_numpy(float), pdf["block"].to_numpy()
@@ -224,112 +252,159 @@ def _tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     bands = np.stack(pdf["bands"].to_numpy())
     here = int(np.flatnonzero(bands[0] == int(key[0]))[0])
     right = np.flatnonzero(block == hi)
-    found_i, found_j, guesses = [], [], []
+    found_i, found_j, guesses = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for i in np.flatnonzero(block == lo):
         j = right[(comp[right] != comp[i]) & (np.minimum(w[right], w[i]) >= THRESHOLD * np.maximum(w[right], w[i]))]
         if lo == hi:
             j = j[j > i]
         j = j[~(bands[j, :here] == bands[i, :here]).any(axis=1)] if here else j
-        if len(j):
-            guess = _estimate(sig[j], sig[i])
-            near = guess >= HOPELESS
-            found_i.append(np.full(near.sum(), i))
-            found_j.append(j[near])
-            guesses.append(guess[near])
-    out_a, out_b = [], []
-    if found_i:
-        i_, j_, g_ = (np.concatenate(x) for x in (found_i, found_j, guesses))
-        above: dict[int, int] = {}
-        sets: dict[int, tuple] = {}
-
-        def top(c: int) -> int:
-            while (up := above.get(c, c)) != c:
-                above[c] = c = above.get(up, up)
-            return c
-
-        def words(i: int) -> tuple:
-            if i not in sets:
-                sets[i] = next(multisets([pdf.at[i, "text"]]))
-            return sets[i]
-
-        for n in np.argsort(-g_, kind="stable"):
-            i, j = int(i_[n]), int(j_[n])
-            x, y = top(int(comp[i])), top(int(comp[j]))
-            if x != y and (g_[n] >= SURE or jaccard(words(i), words(j)) >= THRESHOLD):
-                above[max(x, y)] = min(x, y)
-                out_a.append(max(ids[i], ids[j]))
-                out_b.append(min(ids[i], ids[j]))
-    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-
-def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: enough links between different texts to connect each class. texts: one row of sketch() a text."""
+        guess = _estimate(sig[j], sig[i])
+        near = guess >= HOPELESS
+        found_i.append(np.full(near.sum(), i))
+        found_j.append(j[near])
+        guesses.append(guess[near])
+    i_, j_, g_ = (np.concatenate(x) for x in (found_i, found_j, guesses))
+    forest = _Forest()
+    sure = np.flatnonzero(g_ >= SURE)
+    keep = [n for n in sure[np.argsort(-g_[sure], kind="stable")].tolist() if forest.join(int(comp[i_[n]]), int(comp[j_[n]]))]
+    g_[keep] = 1.0
+    doubt = np.flatnonzero(g_ < SURE)
+    root = np.array([forest.top(int(c)) for c in comp], np.int64)
+    doubt = doubt[root[i_[doubt]] != root[j_[doubt]]]
+    some = np.concatenate((np.array(keep, np.int64), doubt))
+    i, j = i_[some], j_[some]
+    return pd.DataFrame({"band": int(key[0]), "lo": lo, "hi": hi, "a": ids[i], "b": ids[j], "ca": comp[i], "cb": comp[j], "guess": g_[some]})
+
+
+def _weigh(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """Of a tile's doubtful pairs, the likeliest first: links that join components, by exact similarity."""
+    text = dict(zip(texts["id"].tolist(), texts["text"], strict=True))
+    sets: dict[int, tuple] = {}
+
+    def words(i: int) -> tuple:
+        if i not in sets:
+            sets[i] = next(multisets([text.pop(i)]))
+        return sets[i]
+
+    forest, out = _Forest(), []
+    columns = [pairs[c].tolist() for c in ("a", "b", "ca", "cb")]
+    for n in np.argsort(-pairs["guess"].to_numpy(), kind="stable").tolist():
+        a, b, ca, cb = (c[n] for c in columns)
+        if forest.top(ca) != forest.top(cb) and jaccard(words(a), words(b)) >= THRESHOLD:
+            forest.join(ca, cb)
+            out.append((ca, cb))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _tiled(left: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: links between components, enough to join all that the buckets left (band, id, comp) hold."""
+    each = left.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = each.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n")).select(F.col("band").alias("mband"), F.col("m.comp").alias("most"), F.ceil(F.col("m.n") / _TILE).cast("int").alias("own"), F.ceil((F.col("n") - F.col("m.n")) / _TILE).cast("int").alias("rest"))
+    h, first = F.xxhash64("id"), F.col("comp") == F.col("most")
+    block = F.when(first, F.pmod(h, F.col("own"))).otherwise(F.col("own") + F.pmod(h, F.col("rest"))).cast("int")
+    # Blocks of the largest component meet the others only, not each other.
+    others = F.sequence(F.when(first, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("rest") - 1)
+    placed = left.join(most, F.col("band") == F.col("mband")).select("band", "id", "comp", block.alias("block"), F.explode(others).alias("other"))
+    sides = placed.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "comp")
+    sides = sides.join(sketches.select("id", "weight", "bytes", "bands"), "id")
+    found = materialize(sides.groupBy("band", "lo", "hi").applyInPandas(_tile, _PAIRS), "tiled")
+    tile = ["band", "lo", "hi"]
+    doubt = found.where(F.col("guess") < 1)
+    member = doubt.select(*[F.col(k).alias("t" + k) for k in tile], F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = member.join(_texts(member.select("id"), sketches, docs), "id")
+    weighed = doubt.groupBy(*tile).cogroup(texts.groupBy(*["t" + k for k in tile])).applyInPandas(_weigh, "a long, b long")
+    return found.where(F.col("guess") == 1).select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(weighed)
+
+
+def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, root of every text that is linked to another. every: sketch(docs); nodes: node, the id of one row of each text."""
+    # No sort of the wide side: the narrow one is hashed, partition by partition.
+    texts = every.where(F.col("bands").isNotNull()).select("id", "bands").join(nodes.select(F.col("node").alias("id")).hint("shuffle_hash"), "id", "left_semi")
     texts = materialize(texts, "texts")
-    member = texts.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("band"))
+    member = texts.select("id", F.explode("bands").alias("band"))
     first = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id")))
     leader = member.groupBy("band").agg(first.alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("lband"), F.col("l.id").alias("leader"), "n")
-    leader = materialize(leader, "leaders")
     bucket = materialize(member.join(leader, F.col("band") == F.col("lband")).select("band", "id", "leader", "n"), "buckets")
     pairs = bucket.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    good = materialize(_judge(pairs, texts, docs), "good")
-    # What failed against the leader: its bucket is compared across the components so far.
-    failed = bucket.where("id <> leader").join(good, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select(F.col("band").alias("fband")).distinct()
-    roots = components(good).withColumnRenamed("node", "id")
-    rest = bucket.join(failed, F.col("band") == F.col("fband"), "left_semi").join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("comp"))
-    rest = materialize(rest, "rest")
-    spans = rest.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("band").alias("sband"))
-    blocks = F.ceil(F.col("n") / F.lit(_TILE)).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    # Two-member buckets were the leader's one pair.
-    tiled = rest.where("n > 2").join(spans, F.col("band") == F.col("sband"), "left_semi").withColumn("block", block)
-    tiled = materialize(tiled.select("band", "id", "comp", "block", blocks.alias("blocks")), "tiled")
-    whole = texts.select("id", "weight", "bytes", "bands").join(_texts(tiled.select("id"), texts, docs), "id")
-    sides = (
-        tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "comp")
-        .join(whole, "id")
-    )
-    return good.unionByName(sides.groupBy("band", "lo", "hi").applyInPandas(_tile, "a long, b long"))
+    good = materialize(_judge(pairs, every, docs), "good")
+    roots = materialize(components(good), "roots")
+    # What failed against the leader: its bucket is searched on across the components so far. Of two members there is no other pair.
+    failed = bucket.where("id <> leader AND n > 2").join(good, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select(F.col("band").alias("fband")).distinct()
+    left = bucket.join(failed, F.col("band") == F.col("fband"), "left_semi").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
+    left, more = _apart(left), []
+    for turn in range(TURNS):
+        if left.isEmpty():
+            break
+        lead = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("l")).select(F.col("band").alias("lband"), "l")
+        held = left.join(lead, F.col("band") == F.col("lband")).where(F.col("comp") != F.col("l.comp")).select(F.col("id").alias("a"), F.col("l.id").alias("b"), F.col("comp").alias("ca"), F.col("l.comp").alias("cb"))
+        held = materialize(held.distinct(), "held")
+        new = held.join(_judge(held.select("a", "b"), every, docs), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        more.append(materialize(new.distinct(), "more"))
+        joined = components(more[-1])
+        left = _apart(left.join(joined, F.col("comp") == F.col("node"), "left").select("band", "id", F.coalesce("root", "comp").alias("comp")))
+    if not left.isEmpty():
+        more.append(_tiled(left, every, docs))
+    if not more:
+        return roots
+    # Links between components, as they were at each turn: each is named by one of its nodes, which an earlier link joins to the others.
+    joined = more[0]
+    for x in more[1:]:
+        joined = joined.unionByName(x)
+    joined = materialize(components(joined), "joined").select(F.col("node").alias("was"), F.col("root").alias("now"))
+    named = roots.unionByName(joined.select(F.col("was").alias("node"), F.col("was").alias("root")).join(roots.select("node"), "node", "left_anti"))
+    return named.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows (band, id, comp) of the bands that span components, written."""
+    rows = materialize(rows, "rows")
+    spans = rows.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("band").alias("sband"))
+    return materialize(rows.join(spans, F.col("band") == F.col("sband"), "left_semi"), "apart")
+
+
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketch(docs); t1, t2, t3, class, class_id of each text). Classes may share a class_id where rows share a doc_id."""
+    every = materialize(sketch(docs), "sketches")
+    of = every.where(F.col("t1").isNotNull()).groupBy(*KEY).agg(F.min("id").alias("text"), F.min("doc_id").alias("least"))
+    of = materialize(of, "firsts")
+    roots = materialize(connected(every, of.select(F.col("text").alias("node")), docs), "classes")
+    named = of.join(roots, F.col("text") == F.col("node"), "left").select(*KEY, "least", F.coalesce("root", "text").alias("class"))
+    # No doc_id in all of a class: a name below zero, from its least hash.
+    label = named.groupBy("class").agg(F.coalesce(F.min("least"), -1 - F.abs(F.shiftright(F.min("t1"), 1))).alias("class_id"))
+    return every, materialize(named.join(label, "class").select(*KEY, "class", "class_id"), "labels")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class) for each row of docs."""
-    every = materialize(sketch(docs), "sketches")
-    key = ["t1", "t2", "t3"]
-    # Written, so that the join below has plain exchanges on both sides and Spark can split a hot text.
-    first = materialize(every.groupBy(*key).agg(F.min("id").alias("rep")), "firsts")
-    rep = materialize(every.select("id", *key).join(first, key).select("id", "t1", "rep"), "copies")
-    texts = every.join(rep.where("id = rep").select("id", "t1").distinct(), ["id", "t1"], "left_semi").dropDuplicates(["id"])
-    roots = materialize(components(links(texts, docs)), "roots")
-    of = rep.select("id", "rep").distinct().join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("class_id"))
-    # A doc_id whose rows differ in text has a row for each; the smallest class holds.
-    of = of.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNotNull(), _ident(F.col("doc_id"), F.col("text"))).alias("id"))
-    return rows.join(of, "id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    """doc_id, class_id for each row of docs: the smallest doc_id of the class; below zero where none has one, but null for a null text."""
+    every, of = _labelled(docs)
+    # Both sides are plain files, so Spark can split a hot text.
+    rows = every.where(F.col("t1").isNotNull()).select("doc_id", *KEY).join(of, KEY).select("doc_id", "class_id")
+    return rows.unionByName(every.where(F.col("t1").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs, all columns as they were, with one row of each class: that of the smallest doc_id, null last.
 
-    A row is known by the hash of doc_id and text, so no row goes because another has its doc_id. Rows
-    alike in both are copies; rows without either stay.
+    A row is known by doc_id and the text's hashes; of rows alike in both one stays. Null texts all stay.
     """
-    some = F.col("doc_id").isNotNull() | F.col("text").isNotNull()
-    # A stand-in for docs, whose doc_id tells rows apart that differ in doc_id or text.
-    rows = docs.where(some).select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    found = materialize(classes(rows.select("doc_id", "text")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
-    named = found.join(rows.select("own", "doc_id").distinct(), "doc_id")
-    best = F.min(F.struct(F.col("own").isNull().alias("no"), F.col("own").alias("own"), F.col("doc_id").alias("id")))
-    first = named.groupBy("class_id").agg(best.alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("class_id").alias("c"), F.col("b.id").alias("stays"))
-    first = materialize(first, "firsts")
-    gone = found.join(small(first, first.count()), F.col("class_id") == F.col("c")).where("doc_id <> stays").select(F.col("doc_id").alias("_row_id"))
-    gone = materialize(gone, "gone")
-    kept = docs.where(some).withColumn("_row_id", F.xxhash64("doc_id", "text")).join(small(gone, gone.count()), "_row_id", "left_anti")
-    out = docs.where(~some)
-    again = found.where("n > 1").select(F.col("doc_id").alias("_row_id"))
+    every, of = _labelled(docs)
+    rows = every.where(F.col("t1").isNotNull()).groupBy("doc_id", *KEY).agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows.join(of, KEY), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", *KEY))
+    best = rows.groupBy("class").agg(first.alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("class").alias("c"), "b")
+    best = materialize(best, "best")
+    here = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", *KEY)
+    gone = rows.join(small(best, best.count()), F.col("class") == F.col("c")).where(here != F.col("b"))
+    known = fresh(docs, "g0", "g1", "g2", "g3")
+    named = lambda df: df.select(*[F.col(k).alias(g) for k, g in zip(("doc_id", *KEY), known, strict=True)])
+    gone, again = materialize(named(gone), "gone"), materialize(named(rows.where("n > 1")), "again")
+    own = [F.col("doc_id").cast("long"), *_key(F.col("text"))]
+    d, t1, t2, t3 = (a.eqNullSafe(F.col(g)) if g == known[0] else a == F.col(g) for a, g in zip(own, known, strict=True))
+    alike = d & t1 & t2 & t3
+    kept = docs.join(small(gone, gone.count()), alike, "left_anti")
     n = again.count()
-    if n:
-        again = small(materialize(again, "again"), n)
-        out = out.unionByName(kept.join(again, "_row_id", "left_semi").dropDuplicates(["_row_id"]).select(*docs.columns))
-        kept = kept.join(again, "_row_id", "left_anti")
-    return kept.select(*docs.columns).unionByName(out)
+    if not n:
+        return kept
+    again = small(again, n)
+    copies = kept.join(again, alike, "left_semi").select("*", *[a.alias(g) for a, g in zip(own, known, strict=True)]).dropDuplicates(known)
+    return kept.join(again, alike, "left_anti").unionByName(copies.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -7,9 +7,11 @@ weight, and a changed weight moves keys only into or out of that child's subtree
 Law `key`: the key and the tree decide the shard. A shard that joins does so as a region of
 its own: no other region's weight changes, so it takes rows only into itself.
 
-Null keys draw like any other value (all of them land in one shard). Repeated rows land
-together and get separate slots. Null text counts as no bytes. An empty table gives an
-empty result. Extra input columns are ignored.
+Null keys draw like any other value (all of them land in one shard). Repeated rows land together
+and get separate slots; they are counted first, so they make no large group. Ties in a shard's order
+(rows alike in doc_id and text) are between equal rows. A very long text counts by its bytes and is
+never moved; null text counts as no bytes. An empty table gives an empty result. Extra input columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small
+from .common import materialize, numbered, small
 
 RACKS, PER_RACK = 2, 4
 
@@ -68,23 +70,17 @@ def assign(docs: DataFrame, shards: int = 24, base: int = 24, bucket_rows: int =
     """
     key = [F.col("doc_id")]
     tree, grown = layout(shards, base), layout(shards + 1, base)
-    buckets = max(least_buckets, -(-docs.count() // (shards * bucket_rows)))
-    bucket = F.pmod(F.xxhash64(*key, F.lit("bucket")), F.lit(buckets)).cast("int")
-    placed = docs.select("doc_id", shard_of(key, tree).alias("shard"), bucket.alias("bucket"))
-    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        shard_of(key, tree).alias("shard"),
-        bucket.alias("bucket"),
-        shard_of(key, grown).alias("grown_shard"),
-    )
-    within = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("n", F.row_number().over(within))
-        .join(small(offsets, shards * buckets), ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("n") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    seen = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    rows = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("alike")), "rows")
+    known = rows.agg(F.count(F.lit(1)), F.max("alike")).first()
+    buckets = max(least_buckets, -(-known[0] // (shards * bucket_rows)))
+    bucket = F.pmod(F.xxhash64(*key, F.col("h")), F.lit(buckets)).cast("int")
+    placed = rows.select("*", shard_of(key, tree).alias("shard"), shard_of(key, grown).alias("grown_shard"), bucket.alias("bucket"))
+    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    offsets = placed.groupBy("shard", "bucket").agg(F.sum("alike").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), zero).alias("offset"))
+    within = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "h").rowsBetween(W.unboundedPreceding, -1)
+    first = placed.withColumn("n", F.coalesce(F.sum("alike").over(within), zero)).join(small(offsets, shards * buckets), ["shard", "bucket"])
+    first = first.select("doc_id", "size", "text_crc32", "shard", "grown_shard", "alike", (F.col("offset") + F.col("n")).alias("first"))
+    return numbered(first, "alike", "nth", known[1] or 0).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("nth")).alias("slot"), "grown_shard")
