@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import hold as hold
 from ..shared import materialize as materialize
 
 #: Words in every contract here are runs of anything but ASCII white space.
@@ -27,21 +28,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole_texts(df: DataFrame) -> DataFrame:
-    """df, for Arrow: batches of its session hold few rows and bytes from now on.
+def small_batches(spark: SparkSession) -> SparkSession:
+    """spark, whose Arrow batches hold few rows and bytes from now on. For applications, not for operators.
 
     The JVM keeps the direct memory of the largest batches for good, and texts are long.
     """
-    conf = df.sparkSession.conf
+    conf = spark.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
         now = conf.get(key, None)
         number = int(re.match(r"-?[0-9]+", now)[0]) if now else 0
         if number <= 0 or number > most or (now and not now.rstrip("b").isdigit()):
             conf.set(key, str(most))
-    return df
+    return spark
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

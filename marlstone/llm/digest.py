@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, slices, small, whole_texts
+from .common import materialize, numbered, slices, small
 
 WINDOW, POPULAR = 32, 8
 LEAST_BITS = 2.0
@@ -233,7 +233,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["c", "n"])
 
-    rows = whole_texts(docs).select("text").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(CLASSES, np.int64)
     for r in rows:
         counts[r["c"]] = r["n"]

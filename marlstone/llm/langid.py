@@ -6,9 +6,10 @@ are hashed n-grams of 2 to 4 bytes of the lower-cased text, all ASCII but letter
 The machines have no bias, so only the sign of the summed weights decides, and a prediction is
 one pass over the whole text with table look-ups.
 
-Training takes the rows of each language with the smallest hashes of doc_id, PER_LANG of them
-and SAMPLE in all at most (both are parameters): their whole texts become sparse counts on the
-executors, and dual coordinate descent on the driver fits the machines.
+Training takes the rows of each language with the smallest hashes of doc_id, PER_LANG of them,
+SAMPLE in all and SAMPLE_BYTES of text in all at most (these are parameters; texts over a sixteenth
+of a language's bytes come last, and a language keeps one text at least): their whole texts become
+sparse counts on the executors, and dual coordinate descent on the driver fits the machines.
 
 Null text, or text without a letter, gets `und` and score 0; so does every row if nothing could
 be learned. Rows with a null doc_id count as held out. Repeated rows and equal texts get equal
@@ -29,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import slices, whole_texts
+from .common import slices
 
 
-PER_LANG, SAMPLE = 1000, 8000
+PER_LANG, SAMPLE, SAMPLE_BYTES = 1000, 8000, 64 << 20
 #: Families by ISO 639-1 code. A language that isn't listed is in the family `other`.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nl nn no sv yi",
@@ -201,9 +202,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, seed: int = 17) -> Model:
+def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, seed: int = 17, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from text and lang of the rows of docs that aren't held out."""
-    known = whole_texts(docs).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return Model([])
@@ -212,8 +213,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, seed:
     table = spark.createDataFrame([(k, min(1.0, 3 * need / n)) for k, n in counts.items()], "lang string, share double")
     h = F.xxhash64("doc_id", F.lit(seed))
     # Rows above three times the needed share can't be among the smallest hashes; so no group is large.
-    few = known.select("doc_id", "lang", h.alias("h")).join(F.broadcast(table), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
-    first = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= need).select("doc_id").distinct()
+    few = known.select("doc_id", "lang", F.octet_length("text").cast("long").alias("size"), h.alias("h")).join(F.broadcast(table), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    room = sample_bytes // len(counts)
+    line = W.partitionBy("lang").orderBy(F.col("size") > room // 16, "h", "doc_id")
+    ranked = few.withColumns({"r": F.row_number().over(line), "sum": F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0))})
+    first = ranked.where((F.col("r") <= need) & ((F.col("sum") <= room) | (F.col("r") == 1))).select("doc_id").distinct()
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +246,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = shared.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return whole_texts(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
@@ -262,4 +266,4 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
                 keep = [bool(t and _LETTER.search(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return whole_texts(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, slices, small, whole_texts
+from .common import fresh, hold, materialize, slices, small
 from .components import components
 from .shingles import jaccard, mix, multisets
 
@@ -162,7 +162,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             )
 
     text = F.col("text")
-    rows = whole_texts(docs).select(F.col("doc_id").cast("long"), *[F.when(text.isNotNull(), k).alias(n) for k, n in zip(_key(text), KEY, strict=True)], "text")
+    rows = docs.select(F.col("doc_id").cast("long"), *[F.when(text.isNotNull(), k).alias(n) for k, n in zip(_key(text), KEY, strict=True)], "text")
     made = rows.mapInArrow(run, "doc_id long, t1 long, t2 int, t3 int, weight long, bands array<long>, bytes binary")
     return made.select(F.monotonically_increasing_id().alias("id"), "*")
 
@@ -174,7 +174,7 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _texts(ids: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """id, text of the texts that ids names."""
-    keys = materialize(sketches.select("id", *KEY).join(ids.distinct(), "id", "left_semi"), "keys")
+    keys = hold(sketches.select("id", *KEY).join(ids.distinct(), "id", "left_semi"))
     text = docs.where(F.col("text").isNotNull()).select(*_key(F.col("text")), "text")
     # Copies collapse before they are shuffled.
     return materialize(text.join(small(keys, keys.count()), KEY).select("id", "text").dropDuplicates(["id"]), "texts")
@@ -198,7 +198,7 @@ def _judge(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
 
     near = F.least("wa", "wb") >= F.lit(THRESHOLD) * F.greatest("wa", "wb")
     guessed = pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").where(near).select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long, sure boolean")
-    guessed = materialize(guessed, "guessed")
+    guessed = hold(guessed)
     doubt = guessed.where(~F.col("sure"))
     texts = _texts(doubt.select(F.explode(F.array("a", "b")).alias("id")), sketches, docs)
 
@@ -322,12 +322,11 @@ def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = every.where(F.col("bands").isNotNull()).select("id", "bands").join(nodes.select(F.col("node").alias("id")).hint("shuffle_hash"), "id", "left_semi")
     texts = materialize(texts, "texts")
     member = texts.select("id", F.explode("bands").alias("band"))
-    first = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id")))
-    leader = member.groupBy("band").agg(first.alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("lband"), F.col("l.id").alias("leader"), "n")
-    bucket = materialize(member.join(leader, F.col("band") == F.col("lband")).select("band", "id", "leader", "n"), "buckets")
+    leader = member.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("band", "lband")
+    bucket = hold(member.join(leader.hint("shuffle_hash"), F.col("band") == F.col("lband")).select("band", "id", "leader", "n"))
     pairs = bucket.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    good = materialize(_judge(pairs, every, docs), "good")
-    roots = materialize(components(good), "roots")
+    good = hold(_judge(pairs, every, docs))
+    roots = hold(components(good))
     # What failed against the leader: its bucket is searched on across the components so far. Of two members there is no other pair.
     failed = bucket.where("id <> leader AND n > 2").join(good, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select(F.col("band").alias("fband")).distinct()
     left = bucket.join(failed, F.col("band") == F.col("fband"), "left_semi").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
@@ -337,9 +336,9 @@ def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             break
         lead = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("l")).select(F.col("band").alias("lband"), "l")
         held = left.join(lead, F.col("band") == F.col("lband")).where(F.col("comp") != F.col("l.comp")).select(F.col("id").alias("a"), F.col("l.id").alias("b"), F.col("comp").alias("ca"), F.col("l.comp").alias("cb"))
-        held = materialize(held.distinct(), "held")
+        held = hold(held.distinct())
         new = held.join(_judge(held.select("a", "b"), every, docs), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        more.append(materialize(new.distinct(), "more"))
+        more.append(hold(new.distinct()))
         joined = components(more[-1])
         left = _apart(left.join(joined, F.col("comp") == F.col("node"), "left").select("band", "id", F.coalesce("root", "comp").alias("comp")))
     if not left.isEmpty():
@@ -350,14 +349,14 @@ def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     joined = more[0]
     for x in more[1:]:
         joined = joined.unionByName(x)
-    joined = materialize(components(joined), "joined").select(F.col("node").alias("was"), F.col("root").alias("now"))
+    joined = hold(components(joined)).select(F.col("node").alias("was"), F.col("root").alias("now"))
     named = roots.unionByName(joined.select(F.col("was").alias("node"), F.col("was").alias("root")).join(roots.select("node"), "node", "left_anti"))
     return named.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
 
 
 def _apart(rows: DataFrame) -> DataFrame:
     """The rows (band, id, comp) of the bands that span components, written."""
-    rows = materialize(rows, "rows")
+    rows = hold(rows)
     spans = rows.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("band").alias("sband"))
     return materialize(rows.join(spans, F.col("band") == F.col("sband"), "left_semi"), "apart")
 
@@ -366,8 +365,8 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketch(docs); t1, t2, t3, class, class_id of each text). Classes may share a class_id where rows share a doc_id."""
     every = materialize(sketch(docs), "sketches")
     of = every.where(F.col("t1").isNotNull()).groupBy(*KEY).agg(F.min("id").alias("text"), F.min("doc_id").alias("least"))
-    of = materialize(of, "firsts")
-    roots = materialize(connected(every, of.select(F.col("text").alias("node")), docs), "classes")
+    of = hold(of)
+    roots = connected(every, of.select(F.col("text").alias("node")), docs)
     named = of.join(roots, F.col("text") == F.col("node"), "left").select(*KEY, "least", F.coalesce("root", "text").alias("class"))
     # No doc_id in all of a class: a name below zero, from its least hash.
     label = named.groupBy("class").agg(F.coalesce(F.min("least"), -1 - F.abs(F.shiftright(F.min("t1"), 1))).alias("class_id"))
@@ -389,15 +388,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     every, of = _labelled(docs)
     rows = every.where(F.col("t1").isNotNull()).groupBy("doc_id", *KEY).agg(F.count(F.lit(1)).alias("n"))
-    rows = materialize(rows.join(of, KEY), "rows")
+    rows = hold(rows.join(of, KEY))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", *KEY))
     best = rows.groupBy("class").agg(first.alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("class").alias("c"), "b")
-    best = materialize(best, "best")
+    best = hold(best)
     here = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", *KEY)
     gone = rows.join(small(best, best.count()), F.col("class") == F.col("c")).where(here != F.col("b"))
     known = fresh(docs, "g0", "g1", "g2", "g3")
     named = lambda df: df.select(*[F.col(k).alias(g) for k, g in zip(("doc_id", *KEY), known, strict=True)])
-    gone, again = materialize(named(gone), "gone"), materialize(named(rows.where("n > 1")), "again")
+    gone, again = hold(named(gone)), hold(named(rows.where("n > 1")))
     own = [F.col("doc_id").cast("long"), *_key(F.col("text"))]
     d, t1, t2, t3 = (a.eqNullSafe(F.col(g)) if g == known[0] else a == F.col(g) for a, g in zip(own, known, strict=True))
     alike = d & t1 & t2 & t3

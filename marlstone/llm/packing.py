@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_texts
+from .common import materialize
 
 CAPACITY, SEGMENTS = 1024, 256
 #: Limits of sequences of conversations: tokens, segments, loss-bearing tokens.
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None)
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECE)
 
 
 def pack(items: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +126,11 @@ def pack_items(items: DataFrame, limits: tuple[int, int, int], group: int = GROU
 
     items are written first: rows are dealt by their number, which must not change when a task is run again.
     """
+    return _packed(materialize(items, "items"), limits, group)
+
+
+def _packed(items: DataFrame, limits: tuple[int, int, int], group: int = GROUP) -> DataFrame:
     names = items.columns
-    items = materialize(items, "items")
     groups = max(1, -(-items.count() // group))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
 
@@ -149,7 +152,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, segments: int = SE
     cut = materialize(pieces(docs, capacity, ranks), "pieces")
     rests = cut.where(F.col("length") < capacity).withColumns({"tokens": F.col("length"), "loss": F.col("length") - 1})
     full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return full.unionByName(pack_items(rests, (capacity, segments, capacity)).drop("tokens", "loss"))
+    return full.unionByName(_packed(rests, (capacity, segments, capacity)).drop("tokens", "loss"))
 
 
 def conversation_items(turns: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -161,7 +164,7 @@ def conversation_items(turns: DataFrame, ranks: str | None = None) -> DataFrame:
             loss = [x if r == "assistant" else 0 for x, r in zip(n, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], ["conv_id", "tokens", "loss"])
 
-    one = whole_texts(turns).select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(count, "conv_id long, tokens long, loss long")
+    one = turns.select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(count, "conv_id long, tokens long, loss long")
     return one.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
 
 

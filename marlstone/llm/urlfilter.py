@@ -11,6 +11,8 @@ on (kind, value) with a range on the date; at most one interval of a key holds o
 the join can't multiply rows. Spark splits a hot host's partition, as both sides come from
 plain exchanges. No Python, no broadcast of our own choosing.
 
+Schemes and hosts are matched in any case, paths in their own. User names and ports don't count. An
+address in brackets is one label: it has no domain above it. Blanks around a URL are left out.
 Null or unparsable URLs have no keys and are never blocked; neither are captures without a
 date. Changes with a null in kind, value, listed or action are left out. On one date a
 `remove` wins over an `add`. Repeated captures are each returned. Empty tables give empty or
@@ -23,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-_PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
+_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#@\[\]]+)"
+_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -36,13 +38,13 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 
 def host_of(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(F.lower(url), _HOST, 1), r"\.+$", "")
+    return F.regexp_replace(F.regexp_extract(F.lower(F.trim(url)), _HOST, 1), r"\.+$", "")
 
 
 def _keys(url: Column) -> Column:
     """array<struct<kind, value>> that the URL is looked up by."""
-    host, path = host_of(url), F.regexp_extract(url, _PATH, 1)
-    labels = F.split(host, r"\.", -1)
+    host, path = host_of(url), F.regexp_extract(F.trim(url), _PATH, 1)
+    labels = F.when(F.startswith(host, F.lit("[")), F.array(host)).otherwise(F.split(host, r"\.", -1))
     n = F.size(labels)
     above = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("value")))
     one = F.array(F.struct(F.lit("host").alias("kind"), host.alias("value")))
@@ -94,9 +96,9 @@ def sample_changes(pages: DataFrame, start: str = "2024-01-01") -> DataFrame:
 
 _SQL_KEYS = """
 urls AS (SELECT page_id, url, (DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INT)) AS fetched,
-  regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\\.+$', '') AS host,
-  regexp_extract(url, '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS path FROM pages),
-labels AS (SELECT *, string_split(host, '.') AS l FROM urls WHERE host <> ''),
+  regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^:/?#@\\[\\]]+)', 1), '\\.+$', '') AS host,
+  regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS path FROM pages),
+labels AS (SELECT *, CASE WHEN starts_with(host, '[') THEN [host] ELSE string_split(host, '.') END AS l FROM urls WHERE host <> ''),
 keys AS (
   SELECT page_id, url, fetched, 'host' AS kind, host AS value FROM labels
   UNION ALL SELECT page_id, url, fetched, 'domain', array_to_string(l[i:], '.') FROM (SELECT *, unnest(range(1, greatest(len(l), 2))) AS i FROM labels)

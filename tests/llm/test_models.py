@@ -33,6 +33,8 @@ def test_language(docs, rows, empty):
     lang = {d: lang for d, t, lang, _ in rows if t and len(t.split()) > 20 and d < 240}
     right = [r["lang_pred"] == lang[r["doc_id"]] for r in got if r["held_out"] and r["doc_id"] in lang]
     assert len(right) > 20 and sum(right) / len(right) > 0.95
+    few = langid.train(docs, sample_bytes=4 * 3000)
+    assert few.languages == model.languages and sum((few.weights != 0).sum(axis=1)) < 0.9 * sum((model.weights != 0).sum(axis=1))
     kept = langid.keep_known(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(r["lang_pred"] != "und" for r in got)
     nothing = langid.train(empty)
@@ -126,6 +128,56 @@ def test_fingerprints(docs, rows, empty):
     assert digest.fingerprint(empty).count() == 0
 
 
+def plain_likeness(a, b):
+    """From the printed digests, bit by bit."""
+    import base64
+
+    def read(x):
+        n, f = x.split(":")
+        raw = np.unpackbits(np.frombuffer(base64.b64decode(f), np.uint8)).reshape(-1, digest.BITS).astype(int)
+        return int(n), [set(np.flatnonzero(r).tolist()) for r in raw]
+
+    def one_way(n, fa, fb):
+        total = 0.0
+        for i, f in enumerate(fa):
+            best = 0.0
+            for g in fb:
+                chance, most = len(f) * len(g) / digest.BITS, min(len(f), len(g))
+                best = max(best, min(1.0, max(0.0, (len(f & g) - chance) / max(most - chance, 1e-9))))
+            total += best * min(digest.PER_FILTER, n - digest.PER_FILTER * i)
+        return total / n
+
+    (na, fa), (nb, fb) = read(a), read(b)
+    if not na or not nb:
+        return float(na == nb)
+    if na == nb:
+        return (one_way(na, fa, fb) + one_way(nb, fb, fa)) / 2
+    return one_way(na, fa, fb) if na < nb else one_way(nb, fb, fa)
+
+
+def test_near_columns_against_brute_force(docs):
+    some = docs.where("doc_id < 260 OR doc_id IN (270, 271)")
+    got = sorted((r for r in digest.fingerprint(some, rows_a_part=50).collect()), key=lambda r: r["doc_id"])
+    unique = [r for r in got if r["doc_id"] != 0]
+    for r, after in zip(unique, unique[1:], strict=False):
+        assert r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(plain_likeness(r["fingerprint"], after["fingerprint"]))
+    assert any(0.05 < r["near_next"] < 0.95 for r in unique) and any(0.3 < r["near_edited"] < 1 for r in unique)
+
+
+def test_many_rows_without_ids_have_digests(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, "en", 30) for _ in range(300)]
+    rows = [(i, texts[i]) for i in range(100)] + [(None, t) for t in texts[100:]] + [(7, texts[7])] * 4 + [(None, "")] * 5
+    alike = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text for very many rows of the table").alias("text"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(alike).withColumn("alike", F.lit("x")).withColumn("h", F.lit(1))
+    got = digest.fingerprint(df, rows_a_part=60).collect()
+    again = Counter(r["edited_sha256"] for r in digest.fingerprint(df, rows_a_part=10**6).collect())
+    assert len(got) == 3309 and Counter(r["edited_sha256"] for r in got) == again
+    own = [r for r in got if r["n_chars"] == 40]
+    assert len(own) == 3000 and sum(r["near_next"] == 1.0 for r in own) >= 2999
+
+
 # near duplicates
 
 
@@ -189,10 +241,25 @@ def test_rows_without_an_id_of_their_own(spark):
     kept = neardup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
     want = [(7, base), (1, near), (1, other), (1, None), (None, third), (None, None), (None, None)]
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
+    found = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    alone = next(c for d, c in found if c is not None and c < 0)  # a class without any id
+    ids = [(None, 7)] * 3 + [(7, 7), (1, 1), (1, 1), (2, 1), (1, 1), (2, 1)] + [(None, alone)] * 2 + [(None, None)] * 2
+    assert found == sorted(ids, key=str)
+
+
+def test_many_rows_without_ids(spark):
+    text = prose(random.Random(3), "en", 80)
+    alike = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit(1).alias("g0"), F.lit(2).alias("T1"))
+    got = neardup.classes(alike).groupBy("doc_id", "class_id").count().collect()
+    assert len(got) == 1 and got[0]["class_id"] < 0 and got[0]["count"] == 50_000
+    kept = neardup.deduplicate(alike.unionByName(alike.limit(1).withColumn("doc_id", F.lit(9).cast("long"))))
+    assert kept.columns == alike.columns and [tuple(r) for r in kept.collect()] == [(9, text, 1, 2)]
 
 
-def test_tiles_agree_with_one_tile(spark, monkeypatch):
+@pytest.mark.parametrize("turns", [0, 1, 3])
+def test_tiles_and_turns_agree_with_brute_force(spark, monkeypatch, turns):
     monkeypatch.setattr(neardup, "_TILE", 7)
+    monkeypatch.setattr(neardup, "TURNS", turns)
     rows = near_corpus()
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {d: c for d, c in got.items() if d is not None} == brute_classes(rows)
@@ -249,13 +316,13 @@ def test_unsettled_components_are_no_result(spark):
 
 
 def brute_neighbors(vectors, queries_, k):
+    """queries_: row numbers."""
     x = np.array([v for _, v in vectors])
     ids = np.array([i for i, _ in vectors])
     out = {}
-    for i, v in queries_:
-        s = (x * np.array(v)).sum(axis=1)
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
-        out[i] = [(int(ids[j]), float(s[j])) for j in order]
+    for n in queries_:
+        s = (x * x[n]).sum(axis=1)
+        out[n] = [(int(ids[j]), float(s[j])) for j in np.lexsort((ids, -s)) if j != n][:k]
     return out
 
 
@@ -272,7 +339,7 @@ def test_neighbors(spark, kind):
     got = defaultdict(list)
     for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"], r["rank"]))
-    want = brute_neighbors(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    want = brute_neighbors(rows, range(0, 2600, 20), 20)
     assert set(got) == set(want)
     hits = 0
     for q, found in got.items():
@@ -288,10 +355,34 @@ def test_few_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 2.0]), (5, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()}
-    assert {(0, 1, 5, 1.0), (0, 2, 20, 0.0), (0, 3, 20, 0.0), (20, 1, 5, 1.0), (20, 1, 5, 2.0)} <= got and len(got) <= 7
+    # Each row numbered 20 is the other's candidate.
+    assert got == {(0, 1, 5, 1.0), (0, 2, 20, 0.0), (0, 3, 20, 0.0), (20, 1, 5, 2.0), (20, 1, 20, 2.0), (20, 2, 5, 1.0), (20, 2, 20, 2.0), (20, 3, 0, 0.0)}
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0 and ann.search(df, F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 2500])
+def test_repeated_ids_are_candidates(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 16)).round(2)
+    ids = np.arange(n)
+    ids[30:32], ids[50:80] = 20, 40  # 20 and 40 occur 3 and 31 times, with vectors of their own
+    x[60:70] = x[40]  # ... but for some of the latter
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    asked = [j for j in range(n) if ids[j] % 20 == 0]
+    want = brute_neighbors(rows, asked, 20)
+    hits = 0
+    for i in {int(ids[j]) for j in asked}:
+        alike = [j for j in asked if ids[j] == i]
+        assert Counter(r for r, _, _ in got[i]) == Counter(dict.fromkeys(range(1, 21), len(alike)))
+        found, true = Counter((v, s) for _, v, s in got[i]), Counter((v, round(s, 9)) for j in alike for v, s in want[j])
+        hits += sum((found & true).values())
+    assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_scan_finds_what_is_near():
     rng = np.random.default_rng(1)
     x, y = rng.standard_normal((500, 40)).astype(np.float32), rng.standard_normal((30, 40)).astype(np.float32)
@@ -434,5 +525,5 @@ def test_pipeline(spark, docs, tmp_path):
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "packing"]
     assert set(queries.oracle_sql()) <= set(queries.queries())

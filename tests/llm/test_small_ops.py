@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -68,6 +69,19 @@ def test_mixing(docs, rows, empty):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_columns_and_deals_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_ALIKE", 5000)
+    names = ["_t", "_times", "_copies", "_alike", "_row", "_kept_row", "row", "t", "copies", "alike", "nth", "part", "chosen"]
+    alike = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    other = spark.createDataFrame([(i, "w " * (1 + i % 9), "t" if i % 2 else None) for i in range(200)], "doc_id long, text string, source string")
+    docs = alike.unionByName(other).withColumns({n: F.lit(f"own {n}") for n in names})
+    got = mixing.plan(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 9 for r in got) and sum(r["n"] for r in got) == 50_200
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.select(names).distinct().collect() == [tuple(f"own {n}" for n in names)]
+    assert mixed.where("doc_id IS NULL").count() * 3 == next(r["taken"] for r in got if r["n"] == 50_000)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 500), st.floats(0, 1)), max_size=60), st.integers(0, 99))
 def test_flight_keeps_totals(units, seed):
@@ -100,7 +114,10 @@ def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    odd = [(9000 + i, x, "en", "a") for i, x in enumerate(["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|", "x" * 5000 + "<|endoftext|>" * 3000])]
+    rows = rows + odd
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([r[:2] for r in odd], "doc_id long, text string"))
+    assert packing.ids_of("a<|endoftext|>b").tolist() == [64, 50256, 65, 0]
     got = packing.pack_documents(docs).collect()
     ids = defaultdict(list)
     for d, text, _, _ in rows:
@@ -143,8 +160,20 @@ def test_conversations(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "hi"), (2, 0, "assistant", None), (2, 1, None, "x")], "conv_id long, turn long, role string, text string")
     items = {r["conv_id"]: (r["tokens"], r["loss"]) for r in packing.conversation_items(turns).collect()}
     assert items == {1: (5, 2), 2: (2, 0)}
-    packed = packing.pack_items(packing.conversation_items(turns), 2, (1024, 8, 512)).collect()
+    packed = packing.pack_conversations(turns).collect()
     assert len({r["sequence_id"] for r in packed}) == 1 and sorted(r["offset"] for r in packed) in ([0, 2], [0, 5])
+    # Loss binds: more than half of the room for tokens stays free.
+    many = spark.createDataFrame([(i, 0, "assistant", "word " * 30) for i in range(40)], "conv_id long, turn long, role string, text string")
+    got = packing.pack_conversations(many, (1024, 100, 200)).groupBy("sequence_id").agg(F.sum("tokens").alias("t"), F.sum("loss").alias("l")).collect()
+    assert all(r["l"] <= 200 and r["t"] < 512 for r in got) and sum(r["l"] for r in got) == sum(r["t"] for r in got)
+    assert packing.pack_conversations(turns.limit(0)).count() == 0
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    alike = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    got = packing.pack_documents(alike).groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("t"), F.countDistinct("sequence_id").alias("s")).collect()
+    assert sum(r["n"] for r in got) == 50_000 and len(got) == 13 and max(r["n"] for r in got) < 4600
+    assert sum(r["t"] for r in got) / (1024 * sum(r["s"] for r in got)) > 0.97
 
 
 # sharding
@@ -162,6 +191,30 @@ def test_sharding(docs, rows, empty):
     assert sharding.assign(empty).count() == 0
 
 
+def test_equal_rows_get_their_slots(spark):
+    docs = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("alike"))
+    got = sharding.assign(docs).agg(F.countDistinct("slot"), F.min("slot"), F.max("slot"), F.countDistinct("shard")).first()
+    assert tuple(got) == (50_000, 0, 49_999, 1)
+
+
+def brute_shard(key, tree, draw):
+    level = tree
+    while True:
+        name, weight, below = min(level, key=lambda c: -math.log((draw(key, c[0]) + 0.5) / 2.0**53) / c[1])
+        if isinstance(below, int):
+            return below
+        level = below
+
+
+def test_the_descent_against_a_plain_loop(spark):
+    tree, n = sharding.layout(25), 300
+    names = [g[0] for g in tree] + [k[0] for g in tree for k in g[2]] + [s[0] for g in tree for k in g[2] for s in k[2]]
+    draws = spark.range(n).select("id", *[F.shiftrightunsigned(F.xxhash64("id", F.lit(x)), 11).alias(f"`{x}`") for x in names]).collect()
+    u = {(r[0], x): r[i + 1] for r in draws for i, x in enumerate(names)}
+    got = {r[0]: r[1] for r in spark.range(n).select("id", sharding.shard_of([F.col("id")], tree)).collect()}
+    assert got == {k: brute_shard(k, tree, lambda k, x: u[k, x]) for k in range(n)}
+
+
 def test_shards_fill_by_weight_and_move_only_into_the_new_one(spark):
     keys = spark.range(40_000)
     shard = lambda n: sharding.shard_of([F.col("id")], sharding.layout(n))
@@ -189,13 +242,14 @@ def brute_screen(captures, changes):
             log[kind, value][listed] = max(action, log[kind, value].get(listed, ""))
     out = []
     for page, url, fetched in captures:
-        m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", (url or "").lower())
+        u = urlsplit((url or "").strip(" "))
+        host = (u.hostname or "").rstrip(".") if u.scheme else ""
         keys = []
-        if m and (host := m[1].rstrip(".")):
-            labels = host.split(".")
+        if host:
+            host, labels = (f"[{host}]", [f"[{host}]"]) if ":" in host else (host, host.split("."))
             keys = [("host", host), *(("domain", ".".join(labels[i:])) for i in range(max(1, len(labels) - 1)))]
-            p = re.match(r"[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)", url)
-            keys += [("prefix", f"{host}/{p[1]}")] if p else []
+            first = u.path[1:].split("/")[0]
+            keys += [("prefix", f"{host}/{first}")] if first else []
         hits = set()
         for k in keys:
             past = [d for d in log.get(k, {}) if fetched is not None and d <= fetched]
@@ -212,9 +266,10 @@ def test_url_filters(spark):
     day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
     rng = random.Random(4)
     urls = ["http://a.b.example.com/x/y", "HTTPS://User:pw@B.Example.com.:8080/x?q", "ftp://c.org", "no url", None, "", "http:///x", "http://ä.example.com/ü", "http://" + "l." * 300 + "deep.net/p", "http://c.org/list/1"]
-    captures = [(i, rng.choice(urls), None if i == 5 else day(rng.randint(0, 50))) for i in range(300)] + [(1000, urls[0], day(9))] * 3 + [(None, urls[0], day(9))]
-    values = [("host", "a.b.example.com"), ("domain", "example.com"), ("domain", "c.org"), ("prefix", "c.org/list"), ("prefix", "b.example.com/x"), ("host", None), ("domain", "deep.net")]
-    changes = [(*rng.choice(values), None if rng.random() < 0.05 else day(rng.randint(0, 50)), rng.choice(["add", "remove"])) for _ in range(60)]
+    urls += ["HTTP://C.org/list/2", "http://[::1]/x", "HTTP://u@[2001:DB8::1]:80/y/z", "http://a@b@c.org/list", " http://c.org/list ", "http://C.ORG:99?q=/list", "//c.org/list", "http://1.2.3.4/list/"]
+    captures = [(i, rng.choice(urls), None if i == 5 else day(rng.randint(0, 50))) for i in range(600)] + [(1000, urls[0], day(9))] * 3 + [(None, urls[0], day(9))]
+    values = [("host", "a.b.example.com"), ("domain", "example.com"), ("domain", "c.org"), ("prefix", "c.org/list"), ("prefix", "b.example.com/x"), ("host", None), ("domain", "deep.net"), ("host", "[::1]"), ("domain", "[2001:db8::1]"), ("prefix", "[::1]/x"), ("host", "1.2.3.4")]
+    changes = [(*rng.choice(values), None if rng.random() < 0.05 else day(rng.randint(0, 50)), rng.choice(["add", "remove"])) for _ in range(90)]
     c = spark.createDataFrame(captures, "page_id long, url string, fetched date").withColumn("kind", F.lit("clash")).withColumn("since", F.lit(1))
     e = spark.createDataFrame(changes, "kind string, value string, listed date, action string")
     got = sorted((tuple(r) for r in urlfilter.screen(c, e).collect()), key=str)
