@@ -5,6 +5,12 @@ packing. Each stage takes (spark, docs, sf_dir) and works on all rows that its p
 kept; all but the last return the columns of docs. run() writes every stage's rows as Parquet
 into the shared folder and reads them back for the next one, so a lost executor costs a task,
 not a stage.
+
+Null text goes at the first stage, with text that has no letter; an empty table gives an empty
+result at each stage. Null and repeated doc_ids pass: rows are told apart by id and text together.
+Very long texts are read whole everywhere and cut into pieces by the last stage only. Extra columns,
+whatever their names, pass all stages but the last. Of equal and similar texts, ties included, one
+stays; rows that the mix takes twice are equal rows from then on.
 """
 
 from __future__ import annotations
@@ -12,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import langid, mixing, neardup, packing, pii
-from marlstone.llm.common import materialize, table
+from marlstone.llm.common import materialize, small_batches, table
+from marlstone.shared import drop, written
 
 #: Documents whose language is less certain than this are rejected; so are those without a letter.
 #: With the four languages of the tables no score of lettered text is that low.
@@ -21,11 +28,13 @@ LEAST_LANGUAGE_SCORE = 0.05
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects null and letterless text. Text in a language that the labelled ones don't teach stays: with few languages no score is below 0.25."""
+    small_batches(spark)
     return langid.keep_known(docs, langid.train(docs), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of equal or similar texts stays: that of the smallest doc_id."""
+    small_batches(spark)
     return neardup.deduplicate(docs)
 
 
@@ -41,6 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, packed into sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
@@ -57,8 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote on its way goes once its rows are written, these once the next stage's are."""
+    docs, last = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        own = written()
+        docs = materialize(out, name)
+        drop(last, own)
     return docs

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import atexit
 import io
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_held: list[DataFrame] = []
 _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; a folder of our own only where it names none."""
+    """What the cluster names in spark.checkpoint.dir; a folder of our own only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -37,6 +43,15 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks once computed, for narrow tables that are read more than once.
+
+    No lineage is cut: what a lost executor held is computed again. Attributes are new, as after materialize().
+    """
+    _held.append(df.persist(StorageLevel.DISK_ONLY))
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors' Python workers this package, wherever the driver found it; once an application."""
     sc = spark.sparkContext
@@ -59,13 +74,30 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def written() -> int:
+    """How much has been written so far: a mark for drop()."""
+    return len(_written)
+
+
+def drop(since: int, until: int) -> None:
+    """Delete what materialize() wrote between two marks, and all that is held; only when nothing reads them any more."""
+    for spark, path in _written[since:until]:
+        _delete(spark, path)
+    _written[since:until] = []
+    while _held:
+        _held.pop().unpersist()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return  # a stopped context leaves the files to the cluster
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def cleanup() -> None:
-    """Delete what materialize() wrote; a stopped context leaves the files to the cluster."""
+    """Delete what is left of what materialize() and ship() wrote."""
     while _written:
-        spark, path = _written.pop()
-        sc = spark.sparkContext
-        if sc._jsc is None or sc._jsc.sc().isStopped():
-            continue
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(*_written.pop())
