@@ -7,9 +7,10 @@ import argparse
 from pyspark.sql import functions as F
 
 from . import config, generate
-from .plans.scoring import label, labeled_file
+from .plans.scoring import label, write_labeled
 from .session import session
-from .sources import readers, writers
+from .shared import materialize
+from .sources import readers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,12 +45,8 @@ def main(argv: list[str] | None = None) -> int:
     made = generate.transactions(spark, o.payloads, o.fraud_ratio_payloads, o.payloads_seed, o.randomize_payload_dates, list(risks) if risks else None)
     sums = readers.sha256_of_files(spark, f"{o.refs_in if o.reuse_refs else o.refs_out}/*.parquet")
     checksum = F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ""), 256)
-    entries = labeled_file(label(made, refs, risks=risks, norm=norm), sums.agg(checksum).first()[0])
-    if o.pretty_json:
-        text = entries.select(F.to_json(F.struct(*entries.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
-        text.write.mode("overwrite").text(o.payloads_out)
-    else:
-        writers.write_lines(entries, o.payloads_out)
+    labeled = materialize(label(made, refs, risks=risks, norm=norm), "labeled")
+    write_labeled(labeled, sums.agg(checksum).first()[0], o.payloads_out, o.pretty_json)
     return 0
 
 

@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Decimal units.
 _UNITS = ["B", "kB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB"]
 
 
@@ -36,12 +37,6 @@ def fixed(v: Column, places: int) -> Column:
     return _no_point(trimmed(v, places))
 
 
-def _cut(v: Column, places: int) -> Column:
-    scale = F.lit(float(10**places))
-    scaled = v.cast("double") * scale
-    return fixed(F.when(scaled < 0, F.ceil(scaled)).otherwise(F.floor(scaled)) / scale, places)
-
-
 def bytes_text(n: Column) -> Column:
     """Decimal units; one decimal under ten of a unit."""
     n = n.cast("double")
@@ -59,18 +54,12 @@ def duration_text(ms: Column, unit: str = "") -> Column:
         factor, sign = {"s": (0.001, "s"), "ms": (1.0, "ms"), "us": (1000.0, "µs")}[unit]
         return F.concat(F.format_string("%.2f", ms * factor), F.lit(sign))
     minutes = F.floor(ms / 60000)
-    rest = F.when(ms > 60000, _cut(ms % 60000 / 1000, 0)).otherwise(_cut(ms % 60000 / 1000, 2))
-    seconds = F.concat(rest, F.lit("s"))
-    with_minutes = F.concat((minutes % 60).cast("string"), F.lit("m"), seconds)
-    return (
-        F.when(ms == 0, F.lit("0s"))
-        .when(ms < 0.001, F.concat(F.floor(ms * 1e6).cast("string"), F.lit("ns")))
-        .when(ms < 1, F.concat(_cut(ms * 1000, 2), F.lit("µs")))
-        .when(ms < 1000, F.concat(_cut(ms, 2), F.lit("ms")))
-        .when(minutes < 1, seconds)
-        .when(minutes < 60, with_minutes)
-        .otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), with_minutes))
-    )
+    # The one number that is cut, and its unit: one formatting for every size.
+    small = F.when(ms < 0.001, F.floor(ms * 1e6)).when(ms < 1, ms * 1000).when(ms < 1000, ms).otherwise(ms % 60000 / 1000)
+    unit_ = F.when(ms < 0.001, F.lit("ns")).when(ms < 1, F.lit("µs")).when(ms < 1000, F.lit("ms")).otherwise(F.lit("s"))
+    scale = F.when(ms > 60000, F.lit(1.0)).otherwise(F.lit(100.0))
+    ahead = F.when(minutes < 1, F.lit("")).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), (minutes % 60).cast("string"), F.lit("m")))
+    return F.when(ms == 0, F.lit("0s")).otherwise(F.concat(ahead, fixed(F.floor(small * scale) / scale, 2), unit_))
 
 
 def percent_text(share: Column) -> Column:

@@ -52,12 +52,26 @@ def mcc_risk(code: Column, risks: dict[str, float] | None = None, default: float
 
 
 def epoch_of(text: Column) -> Column:
-    """Seconds since 1970 of an ISO-8601 UTC text; null if it can't be read."""
-    return F.unix_timestamp(F.try_to_timestamp(text))
+    """Seconds since 1970 of an ISO-8601 text, always taken as UTC; null if it can't be read."""
+    seconds = F.regexp_extract(text, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}", 0)
+    return F.unix_timestamp(F.try_to_timestamp(F.concat(F.nullif(seconds, F.lit("")), F.lit("Z"))))
 
 
 def timestamp_text(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """The ISO-8601 UTC text of seconds since 1970, whatever the session's time zone."""
+    day, rest = F.floor(epoch / 86_400), F.pmod(epoch, F.lit(86_400))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string")
+    return F.concat(date, F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60))
+
+
+def hour_of_epoch(epoch: Column) -> Column:
+    """The UTC hour of seconds since 1970."""
+    return F.floor(F.pmod(epoch, F.lit(86_400)) / 3600).cast("int")
+
+
+def weekday_of_epoch(epoch: Column) -> Column:
+    """Monday 0 to Sunday 6, in UTC; day 0 was a Thursday."""
+    return F.pmod(F.floor(epoch / 86_400) + 3, F.lit(7)).cast("int")
 
 
 def day_of_week(ts: Column) -> Column:

@@ -14,8 +14,10 @@ ties. Distances that aren't numbers never enter.
   knows its radius, and the triangle inequality leaves out the pivots that can't hold a neighbor.
 - cells: approximate. k-means cells, the nearest of which are searched: `probes` of them, or as many
   more as give RECALL for CALIBRATE queries drawn by hash, whose true neighbors `blocks` finds.
-- hashes: approximate. Bucketed random projections.
-- graph: approximate. A navigable neighbor graph a block, walked greedily.
+- hashes: approximate. Bucketed random projections; the buckets widen until CALIBRATE queries reach RECALL.
+- graph: approximate. A navigable neighbor graph a block of references, walked greedily by blocks of queries.
+
+Blocks are cut by the size of each cell or bucket, so a small one is one block however large the table is.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from .vectorize import bucket
 
 SCHEMA = "idx long, ref_id long, label string, distance double"
 _REFS, _QUERIES = 65_536, 4_096
-_FEW = 10_000
 _CELLS = 1 << 22
+_GRAPH_QUERIES = 65_536
 RECALL, CALIBRATE = 0.95, 256
 
 
@@ -110,16 +112,28 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def _blocks(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self: bool, on: list[str] | None = None, n_refs: int | None = None, n_queries: int | None = None) -> DataFrame:
     """Candidates: per block of references k a query. on: columns that both sides share and that must agree."""
-    on = on or []
     spark = refs.sparkSession
+    if on:
+        return _blocks_within(queries, refs, k, metric, skip_self, on)
     n_refs = refs.count() if n_refs is None else n_refs
     n_queries = queries.count() if n_queries is None else n_queries
     # As many blocks as the cluster has cores at least, where there are rows enough for it.
     cores = spark.sparkContext.defaultParallelism
     rb = max(1, -(-n_refs // _REFS), min(cores, n_refs // 2_000))
     qb = max(1, -(-n_queries // _QUERIES), min(-(-cores // rb), n_queries // 500))
-    q = queries.select(*on, "idx", "vector", F.pmod(F.xxhash64("idx"), F.lit(qb)).cast("long").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
-    r = refs.select(*on, "ref_id", "vector", "label", F.pmod(F.xxhash64("ref_id"), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("qb"))
+    q = queries.select("idx", "vector", F.pmod(F.xxhash64("idx"), F.lit(qb)).cast("long").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+    r = refs.select("ref_id", "vector", "label", F.pmod(F.xxhash64("ref_id"), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("qb"))
+    key = ["qb", "rb"]
+    return q.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(_search(metric, k, skip_self), SCHEMA)
+
+
+def _blocks_within(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self: bool, on: list[str]) -> DataFrame:
+    """The same within the cells that the columns `on` name on both sides: blocks by each cell's own size. Cells are few: their sizes are a small table."""
+    sizes = refs.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(_REFS)).cast("int").alias("_rb")).join(queries.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(_QUERIES)).cast("int").alias("_qb")), on)
+    sizes = F.broadcast(refs.sparkSession.createDataFrame(sizes.collect(), sizes.schema))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(sizes, on).select(*on, "idx", "vector", F.pmod(F.xxhash64("idx"), F.col("_qb")).cast("int").alias("qb"), upto("_rb").alias("rb"))
+    r = refs.join(sizes, on).select(*on, "ref_id", "vector", "label", F.pmod(F.xxhash64("ref_id"), F.col("_rb")).cast("int").alias("rb"), upto("_qb").alias("qb"))
     key = [*on, "qb", "rb"]
     return q.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(_search(metric, k, skip_self), SCHEMA)
 
@@ -178,7 +192,7 @@ def _pivots(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self:
             yield pd.DataFrame({"idx": pdf["idx"].to_numpy()[row], "vector": pdf["vector"].to_numpy()[row], "cell": cell.astype(np.int32)})
 
     asked = queries.select("idx", "vector").mapInPandas(probe, "idx long, vector array<double>, cell int")
-    return _blocks(asked, celled.drop("far"), k, metric, skip_self, ["cell"], n, max(1, queries.count()))
+    return _blocks(asked, celled.drop("far"), k, metric, skip_self, ["cell"])
 
 
 def _cells(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self: bool, cells: int, probes: int, seed: int) -> DataFrame:
@@ -212,22 +226,35 @@ def _cells(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self:
     if len(places):
         probes = max(probes, int(places[math.ceil(RECALL * len(places)) - 1]))
     q = queries.select("idx", "vector").mapInPandas(near(min(probes, len(centers))), "idx long, vector array<double>, cell array<int>").withColumn("cell", F.explode("cell"))
-    return _blocks(q, r, k, metric, skip_self, ["cell"], n, max(1, m))
+    return _blocks(q, r, k, metric, skip_self, ["cell"])
+
 
+def _hashes(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self: bool, width: float, tables: int, seed: int) -> DataFrame:
+    """Pairs that share a bucket are found by id alone; vectors join what is left of them after repeats.
 
-def _hashes(queries: DataFrame, refs: DataFrame, metric: str, skip_self: bool, width: float, tables: int, seed: int) -> DataFrame:
+    Buckets are `width` wide or, doubled as often as needed, so wide that CALIBRATE queries find RECALL of their true neighbors.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed)
-    r = refs.select("ref_id", "label", F.col("vector").alias("rv"), array_to_vector("vector").alias("features"))
-    model = lsh.fit(r)
-    bucketed = lambda df: model.transform(df).drop("features").select("*", F.posexplode("hashes").alias("t", "h")).drop("hashes")
-    a = bucketed(queries.select("idx", F.col("vector").alias("qv"), array_to_vector("vector").alias("features"))).withColumn("h", vector_to_array("h"))
-    b = bucketed(r).withColumn("h", vector_to_array("h"))
-    pairs = a.join(b, ["t", "h"]).select("idx", "ref_id", "label", distance(metric, F.col("qv"), F.col("rv")).alias("distance"))
-    pairs = pairs.where(F.col("distance").isNotNull() & ~F.isnan("distance") & (F.lit(not skip_self) | (F.col("idx") != F.col("ref_id"))))
-    return pairs.dropDuplicates(["idx", "ref_id"])
+    refs, queries = materialize(refs, "refs"), materialize(queries, "queries")
+    features = lambda df, i: df.select(i, array_to_vector("vector").alias("features"))
+    some = materialize(queries.orderBy(F.xxhash64("idx", F.lit(seed)), "idx").limit(CALIBRATE), "some")
+    true = materialize(ranked(_blocks(some, refs, k, metric, skip_self), k), "true")
+
+    def candidates(q: DataFrame, width: float) -> DataFrame:
+        model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(features(refs, "ref_id"))
+        bucketed = lambda df, i: model.transform(features(df, i)).select(i, F.posexplode("hashes").alias("t", "h")).withColumn("h", vector_to_array("h"))
+        pairs = bucketed(q, "idx").join(bucketed(refs, "ref_id"), ["t", "h"]).select("idx", "ref_id")
+        return (pairs.where("idx <> ref_id") if skip_self else pairs).distinct()
+
+    for _ in range(12):
+        if recall(candidates(some, width), true) >= RECALL:
+            break
+        width *= 2
+    pairs = candidates(queries, width).join(queries.select("idx", F.col("vector").alias("qv")), "idx").join(refs.select("ref_id", "label", F.col("vector").alias("rv")), "ref_id")
+    found = pairs.select("idx", "ref_id", "label", distance(metric, F.col("qv"), F.col("rv")).alias("distance"))
+    return found.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
 
 
 def _graph(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self: bool, links: int, width: int) -> DataFrame:
@@ -266,10 +293,10 @@ def _graph(queries: DataFrame, refs: DataFrame, k: int, metric: str, skip_self:
                 out += [(idx, i, label, d) for d, i, label in sorted(found, key=lambda f: f[:2])[:k]]
         return pd.DataFrame(out, columns=["idx", "ref_id", "label", "distance"]).astype({"idx": np.int64, "ref_id": np.int64, "distance": float})
 
-    rb = max(1, -(-refs.count() // 4_096))
-    q = queries.select("idx", "vector", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
-    r = refs.select("ref_id", "vector", "label", F.pmod(F.xxhash64("ref_id"), F.lit(rb)).cast("int").alias("rb"))
-    return q.groupBy("rb").cogroup(r.groupBy("rb")).applyInPandas(run, SCHEMA)
+    rb, qb = max(1, -(-refs.count() // 4_096)), max(1, -(-queries.count() // _GRAPH_QUERIES))
+    q = queries.select("idx", "vector", F.pmod(F.xxhash64("idx"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+    r = refs.select("ref_id", "vector", "label", F.pmod(F.xxhash64("ref_id"), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(run, SCHEMA)
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int = NEIGHBORS, metric: str = "l2", plan: str = "auto", skip_self: bool = False, **how) -> DataFrame:
@@ -292,7 +319,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int = NEIGHBORS, metric: str = "
     elif plan == "cells":
         found = _cells(q, r, k, metric, skip_self, how.get("cells", 16), how.get("probes", 4), how.get("seed", 1))
     elif plan == "hashes":
-        found = _hashes(q, r, metric, skip_self, how.get("width", 1.0), how.get("tables", 4), how.get("seed", 1))
+        found = _hashes(q, r, k, metric, skip_self, how.get("width", 1.0), how.get("tables", 4), how.get("seed", 1))
     elif plan == "graph":
         found = _graph(q, r, k, metric, skip_self, how.get("links", 12), how.get("breadth", 64))
     else:
@@ -303,7 +330,14 @@ def knn(queries: DataFrame, refs: DataFrame, k: int = NEIGHBORS, metric: str = "
 def recall(found: DataFrame, truth: DataFrame) -> float:
     """The share of truth's (idx, ref_id) that found has."""
     hit = truth.select("idx", "ref_id").join(found.select("idx", "ref_id", F.lit(1).alias("hit")), ["idx", "ref_id"], "left")
-    return hit.agg(F.count("hit") / F.count(F.lit(1))).first()[0]
+    return hit.agg(F.coalesce(F.try_divide(F.count("hit"), F.count(F.lit(1))), F.lit(1.0))).first()[0]
+
+
+def measured(found: DataFrame, queries: DataFrame, refs: DataFrame, k: int = NEIGHBORS, metric: str = "l2", skip_self: bool = False, seed: int = 1) -> DataFrame:
+    """found with `recall`: the share of the true neighbors of CALIBRATE queries, drawn by hash, that it has."""
+    found = materialize(found, "found")
+    some = queries.orderBy(F.xxhash64("idx", F.lit(seed)), "idx").limit(CALIBRATE)
+    return found.withColumn("recall", F.lit(float(recall(found, knn(some, refs, k, metric, skip_self=skip_self)))))
 
 
 def edit_neighbors(words: DataFrame, others: DataFrame, most: int = 1) -> DataFrame:

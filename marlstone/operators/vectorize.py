@@ -15,7 +15,6 @@ def dimensions(risks: dict[str, float] | None = None, norm: Normalization | None
     n = norm or Normalization()
     c = F.col
     at = S.epoch_of(c("transaction.requested_at"))
-    when = F.timestamp_seconds(at)
     no_last = c("last_transaction").isNull()
     minutes = S.minutes_between(at, S.epoch_of(c("last_transaction.timestamp")))
     ratio = S.safe_ratio(c("transaction.amount"), c("customer.avg_amount"))
@@ -24,8 +23,8 @@ def dimensions(risks: dict[str, float] | None = None, norm: Normalization | None
         part(c("transaction.amount"), n.max_amount),
         part(c("transaction.installments"), n.max_installments),
         S.clamp01(ratio / F.lit(n.amount_vs_avg_ratio)),
-        F.hour(when) / F.lit(23.0),
-        S.day_of_week(when) / F.lit(6.0),
+        S.hour_of_epoch(at) / F.lit(23.0),
+        S.weekday_of_epoch(at) / F.lit(6.0),
         S.or_sentinel(no_last, part(minutes, n.max_minutes)),
         S.or_sentinel(no_last, part(c("last_transaction.km_from_current"), n.max_km)),
         part(c("terminal.km_from_home"), n.max_km),

@@ -10,6 +10,7 @@ from ..operators import evaluate
 from ..operators.knn import knn
 from ..operators.vectorize import vectorize
 from ..operators.vote import vote
+from ..sources.writers import write_test_file
 
 
 def decide(transactions: DataFrame, refs: DataFrame, k: int = NEIGHBORS, plan: str = "buckets", risks: dict[str, float] | None = None, norm: Normalization | None = None) -> DataFrame:
@@ -24,12 +25,12 @@ def label(transactions: DataFrame, refs: DataFrame, **how) -> DataFrame:
     return transactions.join(found, "idx")
 
 
-def labeled_file(labeled: DataFrame, checksum: str) -> DataFrame:
-    """One row for each entry of a test file, with the envelope's checksum and statistics beside it."""
+def write_labeled(labeled: DataFrame, checksum: str, path: str, pretty: bool = False) -> None:
+    """A test file of labeled transactions (as `label` returns them): envelope and entries in the order of idx."""
     stats = evaluate.stats(labeled.select(F.col("expected_fraud_score").alias("fraud_score"), F.col("expected_approved").alias("approved")))
+    stats = stats.select("total", "fraud_count", "legit_count", "fraud_rate", "legit_rate", "edge_case_count", "edge_case_rate")
     payload = F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction").alias("request")
-    entries = labeled.select("idx", payload, "expected_approved", "expected_fraud_score")
-    return entries.crossJoin(stats.select(F.lit(checksum).alias("references_checksum_sha256"), F.struct(*stats.columns).alias("stats")))
+    write_test_file(labeled.select("idx", payload, "expected_approved", "expected_fraud_score"), checksum, stats, path, pretty)
 
 
 def evaluate_run(expected: DataFrame, responses: DataFrame, timeout_ms: float = 2001.0) -> DataFrame:

@@ -9,19 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import generate
+from .config import read_mcc_risk
 from .functions import formatting as T
 from .functions import jsonfns as J
 from .functions import registry
 from .functions import scalar as S
 from .operators import evaluate as E
 from .operators import history, resolve
-from .operators.knn import edit_neighbors, knn
+from .operators.knn import edit_neighbors, knn, measured
+from .operators.vectorize import vectorize
 from .operators.vote import majority, vote, weighted
 from .plans import events as P
-from .plans.scoring import classifier
-from .shared import materialize
-from .sources import writers
-from .streaming.scorer import drain, running_counts
+from .plans.scoring import classifier, write_labeled
+from .schemas import DIMENSIONS
+from .shared import materialize, shared_dir
+from .sources import readers, writers
+from .streaming.scorer import arrivals, decide_each_batch, drain, running_counts, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,7 +111,7 @@ def q08_hour_dow(spark, sf_dir):
 
 @query
 def q09_minutes_since_last(spark, sf_dir):
-    t = P.transactions(_table(spark, sf_dir, "events"))
+    t = P.gaps(_table(spark, sf_dir, "events"))
     return t.select("event_id", F.round(S.or_sentinel(F.col("last_t").isNull(), F.col("minutes")), 6).alias("minutes"))
 
 
@@ -119,7 +122,7 @@ def q10_tx_count_24h(spark, sf_dir):
 
 @query
 def q11_amount_vs_average(spark, sf_dir):
-    t = P.transactions(_table(spark, sf_dir, "events"))
+    t = P.gaps(_table(spark, sf_dir, "events"))
     return t.select("event_id", F.round(F.col("average") + 1e-9, 6).alias("average"), S.round4(S.clamp01(S.safe_ratio(F.col("value"), F.col("average")) / 10)).alias("ratio"))
 
 
@@ -326,22 +329,221 @@ def q33_edit_neighbors(spark, sf_dir):
     return edit_neighbors(words, words.withColumnRenamed("word", "other"))
 
 
+# files, payloads, values
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _payload_file(spark: SparkSession, sf_dir: str) -> str:
+    """The events as a JSON array of transactions, one file a partition."""
+    path = _folder(spark, "payloads")
+    rows = P.payloads(_table(spark, sf_dir, "events"))
+    rows.select(writers.request_json(F.struct(*[c for c in rows.columns if c != "idx"])).alias("value")).write.text(path)
+    return path
+
+
+@query
+def q46_payload_vectors(spark, sf_dir):
+    """Transactions through JSON lines and back, as vectors; whatever the session's time zone."""
+    rows = readers.payload_lines(spark, _payload_file(spark, sf_dir)).where(~F.col("malformed"))
+    return vectorize(rows, columns=True).select(F.substring("id", 4, 20).cast("long").alias("event_id"), *[F.col(n).alias(f"d{i}") for i, n in enumerate(DIMENSIONS)])
+
+
+def _reference_file(spark: SparkSession, sf_dir: str, **how: str) -> str:
+    _, r = _vectors(spark, sf_dir)
+    path = _folder(spark, "references")
+    one = writers.reference_json(F.col("vector"), F.col("label"))
+    listed = r.select("ref_id", one.alias("value"))
+    first = listed.agg(F.min("ref_id")).first()[0]
+    text = listed.select("ref_id", F.concat(F.when(F.col("ref_id") == first, "[").otherwise(","), "value").alias("value")).unionByName(spark.createDataFrame([((1 << 63) - 1, "]")], "ref_id long, value string"))
+    text.orderBy("ref_id").select("value").coalesce(1).write.options(**how).text(path)
+    return path
+
+
+@query
+def q47_references(spark, sf_dir):
+    """References through a JSON array and back: place in the array, checked vector and label."""
+    r = readers.references(spark, _reference_file(spark, sf_dir), dims=64)
+    return r.select("ref_id", F.get("vector", F.lit(0)).alias("first"), F.get("vector", F.lit(63)).alias("last"), F.size("vector").cast("long").alias("dims"), "label", T.number_array(F.slice("vector", 1, 2)).alias("text"))
+
+
+@query
+def q47b_references_gzip(spark, sf_dir):
+    r = readers.references(spark, _reference_file(spark, sf_dir, compression="gzip"), dims=64)
+    return r.select("ref_id", F.get("vector", F.lit(7)).alias("eighth"), "label")
+
+
+@query
+def q48_timestamps(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") * 86_399 + F.col("l_partkey") * 61 - 40_000_000).alias("e"))
+    text = S.timestamp_text(F.col("e"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"), S.epoch_of(text).alias("epoch"), S.hour_of_epoch(F.col("e")).alias("hour"), S.weekday_of_epoch(F.col("e")).alias("dow"))
+
+
+@query
+def q49_json_values(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    spaced = F.concat(F.lit('{ "b" : /* c */ [ 1 , "x  y" ] , // end\n "a" :\t'), n.cast("string"), F.lit(' , "b" : null }'))
+    v = J.object_value(type=J.scalar_value(F.col("event_type")), n=J.scalar_value(n), none=J.scalar_value(F.when(n < 0, n)), list=J.array_value(n, F.lit(True)))
+    whole = F.concat(F.lit('{"K":[1,{"z":'), (n / F.lit(7)).cast("string"), F.lit('}],"a":"'), F.col("event_type"), F.lit('"}'))
+    near = F.concat(F.lit('{"A":"'), F.col("event_type"), F.lit('","k":[1.0,{"Z":'), (n / F.lit(7) * F.lit(1 + 2.0**-53)).cast("string"), F.lit("}]}"))
+    odd = F.when(n % 5 == 0, F.lit(float("nan"))).when(n % 5 == 1, F.lit(float("inf"))).otherwise(n / F.lit(4))
+    return e.select(
+        "event_id",
+        J.minified(spaced).alias("minified"),
+        J.unparse(v).alias("made"),
+        J.string_value(v, "$.type").alias("string"),
+        J.kind(v, "$.none").alias("none"),
+        J.compare(whole, near, False).alias("any_case"),
+        J.compare(whole, near, True).alias("exact_case"),
+        J.equal_numbers(n / F.lit(3), n / F.lit(3) * (1 + 2.0**-52)).alias("close"),
+        J.print_number(odd).alias("printed"),
+        J.number_list(F.array(odd, n.cast("double"))).alias("numbers"),
+        J.string_list(F.array(F.col("event_type"), F.lit('q"'))).alias("strings"),
+    )
+
+
+@query
+def q49b_json_items(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    m = J.add_item(F.create_map(F.lit("a"), F.col("c_acctbal"), F.lit("B"), F.lit(1.0)), "a", F.lit(2.0))
+    r = J.set_field(F.struct("c_custkey", "c_mktsegment"), "c_mktsegment", F.lit("set"))
+    return c.select("c_custkey", F.to_json(m).alias("map"), F.to_json(r).alias("set"), F.to_json(J.drop_field(r, "c_custkey")).alias("dropped"), J.duplicate(F.col("c_acctbal")).alias("copy"))
+
+
+@query
+def q50_value_text(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_linenumber") == 1, "rate").otherwise("trend")
+    contains = F.when(F.col("l_linenumber") == 2, "data").when(F.col("l_linenumber") == 3, "time").otherwise("default")
+    v = F.when(F.col("l_linenumber") == 1, F.col("l_tax")).when(F.col("l_linenumber") == 2, F.floor(F.col("l_extendedprice") * F.col("l_quantity"))).when(F.col("l_linenumber") == 3, F.col("l_extendedprice") * F.col("l_quantity") / 7).otherwise(F.col("l_discount") * 3)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", T.value_text(v, kind, contains).alias("text"))
+
+
+@query
+def q51_is_known(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    known = o.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("known"))
+    wanted = F.element_at(F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "none")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    c = _table(spark, sf_dir, "customer").join(known, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select("c_custkey", S.is_known(F.col("known"), wanted).alias("known"), S.flag(~S.is_known(F.col("known"), wanted)).alias("unknown"))
+
+
+@query
+def q52_counter(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value")
+    return E.metric(e, "counter", ["name"], seconds=120).select("name", F.round("count", 6).alias("count"), F.round("rate", 6).alias("rate"))
+
+
+@query
+def q53_upsert_last(spark, sf_dir):
+    """Of new rows with one key the last by an order holds."""
+    o = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("owner"), F.col("o_orderpriority").alias("submission"), F.col("o_orderkey").alias("place"))
+    return writers.upsert(o.where("place < 0").unionByName(spark.createDataFrame([(1, "1-URGENT", -1), (1, "none", -2)], o.schema)), o, ["owner", "submission"], "place")
+
+
+@query
+def q54_test_file(spark, sf_dir):
+    """Labeled transactions through a test file and back."""
+    path = _folder(spark, "test")
+    rows = P.payloads(_table(spark, sf_dir, "events"))
+    score = F.pmod(F.col("idx"), F.lit(6)) / F.lit(5.0)
+    write_labeled(rows.withColumns({"expected_fraud_score": score, "expected_approved": S.approved(score)}), "00", path)
+    header = readers.test_header(spark, path).select("stats.*")
+    entries = readers.test_file(spark, path)
+    return entries.crossJoin(header).select("idx", "request.id", "expected_approved", "expected_fraud_score", F.col("request.transaction.amount").alias("amount"), F.col("request.last_transaction").isNull().alias("first"), "total", "fraud_count", "legit_rate", "edge_case_count")
+
+
+@query
+def q55_participants(spark, sf_dir):
+    """A file an owner, read back as a folder; a default submission is the owner's first."""
+    path = _folder(spark, "participants")
+    listed = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files = listed.groupBy("r_name").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.struct(x["n_name"].alias("id"), F.concat(F.lit("repo/"), x["n_nationkey"].cast("string")).alias("repo")))).alias("value"))
+    files = files.withColumn("owner", F.col("r_name")).select("owner", "value")
+    files.repartition("owner").write.partitionBy("owner").text(path)
+    p = readers.participants(spark, path)
+    asked = p.select("owner").distinct().withColumn("submission", F.lit("default"))
+    return p.join(resolve.resolve(asked, p).withColumnRenamed("submission", "first"), "owner").select("owner", "pos", "id", "repo", "first")
+
+
+@query
+def q56_confusion_of_stream(spark, sf_dir):
+    """Transactions arrive as files; each is decided alone against the references, and outcomes are counted."""
+    rows = vectorize(P.payloads(_table(spark, sf_dir, "events"))).select("idx", "vector")
+    rows = materialize(rows, "rows")
+    fraud = F.when(F.get("vector", F.lit(12)) >= 0.75, "fraud").otherwise("legit")
+    refs = rows.select(F.col("idx").alias("ref_id"), "vector", fraud.alias("label"))
+    path = _folder(spark, "arrivals")
+    lines = P.payloads(_table(spark, sf_dir, "events").where("event_id % 20 = 0"))
+    lines.select(writers.request_json(F.struct(*[c for c in lines.columns if c != "idx"])).alias("value")).write.text(path)
+    scored = drain(score_stream(arrivals(spark, path, 1000), refs), f"scored_{uuid.uuid4().hex}", mode="append")
+    return scored.select(F.substring("id", 4, 20).cast("long").alias("idx"), "fraud_score", "approved")
+
+
+@query
+def q57_config(spark, sf_dir):
+    """Category risks from a JSON object, and what they make of each event."""
+    path = _folder(spark, "risks")
+    pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct("n_name", (F.col("n_nationkey") / F.lit(100.0)).alias("risk")))))
+    _table(spark, sf_dir, "nation").agg(F.to_json(pairs).alias("value")).coalesce(1).write.text(path)
+    risks = read_mcc_risk(spark, path)
+    s = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    code = F.when(F.col("s_suppkey") % 3 == 0, F.lit("none")).otherwise(F.col("n_name"))
+    return s.select("s_suppkey", S.mcc_risk(code, risks).alias("risk"))
+
+
 # without a twin in SQL
 
 
+@query
+def q18b_p99_approximate(spark, sf_dir):
+    return E.p99_approximate(_table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query
+def q58_file_hashes(spark, sf_dir):
+    return readers.sha256_of_files(spark, f"{sf_dir}/nation.parquet")
+
+
+@query
+def q59_stream_micro_batches(spark, sf_dir):
+    """The stated transactions, every twentieth event, decided micro-batch by micro-batch with the batch plans."""
+    path, out = _folder(spark, "arrivals"), _folder(spark, "decisions")
+    events = _table(spark, sf_dir, "events")
+    lines = P.payloads(events.where("event_id % 20 = 0"))
+    lines.select(writers.request_json(F.struct(*[c for c in lines.columns if c != "idx"])).alias("value")).write.text(path)
+    rows = materialize(vectorize(P.payloads(events)).select(F.col("idx").alias("ref_id"), "vector"), "refs")
+    refs = rows.withColumn("label", F.when(F.get("vector", F.lit(12)) >= 0.75, "fraud").otherwise("legit"))
+    sink = lambda decided, epoch: decided.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/{epoch}")
+    decide_each_batch(arrivals(spark, path, 1000), refs, sink).trigger(availableNow=True).option("checkpointLocation", _folder(spark, "state")).start().awaitTermination()
+    return spark.read.parquet(f"{out}/*").select("id", "fraud_score", "approved")
+
+
+
+def _measured(spark: SparkSession, sf_dir: str, plan: str, **how) -> DataFrame:
+    """With `recall`, which tests hold against 0.9."""
+    q, r = _vectors(spark, sf_dir)
+    found = measured(knn(q, r, plan=plan, skip_self=True, **how), q, r, skip_self=True)
+    return found.select("idx", "rank", "ref_id", "label", F.round(F.sqrt("distance"), 6).alias("d"), "recall")
+
+
 @query
 def q40_knn_cells(spark, sf_dir):
-    return _rows(_neighbors(spark, sf_dir, plan="cells", probes=8), root=True)
+    return _measured(spark, sf_dir, "cells", probes=8)
 
 
 @query
 def q41_knn_hashes(spark, sf_dir):
-    return _rows(_neighbors(spark, sf_dir, plan="hashes", width=1.0, tables=4), root=True)
+    return _measured(spark, sf_dir, "hashes", width=1.0, tables=4)
 
 
 @query
 def q42_knn_graph(spark, sf_dir):
-    return _rows(_neighbors(spark, sf_dir, plan="graph"), root=True)
+    return _measured(spark, sf_dir, "graph")
 
 
 @query

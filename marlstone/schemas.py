@@ -15,6 +15,7 @@ PAYLOAD = ", ".join(f"{k} {v}" for k, v in _PAYLOAD.items())
 REFERENCE = "vector array<double>, label string"
 ENTRY = f"request struct<{','.join(f'{k}:{v}' for k, v in _PAYLOAD.items())}>, expected_approved boolean, expected_fraud_score double"
 TEST_FILE = f"references_checksum_sha256 string, entries array<struct<{ENTRY.replace('request struct', 'request:struct').replace(', expected_approved ', ',expected_approved:').replace(', expected_fraud_score ', ',expected_fraud_score:')}>>"
+TEST_HEADER = "references_checksum_sha256 string, stats struct<total:long,fraud_count:long,legit_count:long,fraud_rate:double,legit_rate:double,edge_case_count:long,edge_case_rate:double>"
 RESPONSE = "idx long, approved boolean, status int, duration_ms double"
 PARTICIPANT = "id string, repo string"
 DIMENSIONS = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import schemas
 
@@ -11,27 +12,42 @@ from .. import schemas
 def payloads(spark: SparkSession, path: str) -> DataFrame:
     """idx and the transaction's columns, from a JSON array; `malformed` marks rows that couldn't be read.
 
-    Position is the identity: `id` isn't unique.
+    Position is the identity: `id` isn't unique. An element that isn't a transaction is one malformed
+    row, the others stay; a file that isn't JSON is one malformed row.
     """
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.posexplode(F.from_json(F.ltrim("value", F.lit("\ufeff")), f"array<struct<{_fields(schemas.PAYLOAD)}>>")).alias("pos", "p"))
-    return parsed.select(F.col("pos").cast("long").alias("idx"), "p.*").withColumn("malformed", F.col("id").isNull() & F.col("transaction").isNull())
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.ltrim("value", F.lit("\ufeff"))).alias("v"))
+    every = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array(F.col("v")))
+    return transactions_of(text.select(F.posexplode(every).alias("pos", "e")).select(F.col("pos").cast("long").alias("idx"), F.to_json("e").alias("value")))
+
+
+def transactions_of(rows: DataFrame) -> DataFrame:
+    """rows (idx, value: a transaction as JSON) with its columns and `malformed`."""
+    parsed = rows.select("idx", F.from_json("value", schemas.PAYLOAD + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("p")).select("idx", "p.*")
+    broken = F.col("_broken").isNotNull() | F.col("id").isNull() | F.col("transaction").isNull()
+    return parsed.withColumn("malformed", broken).drop("_broken")
 
 
 def payload_lines(spark: SparkSession, path: str) -> DataFrame:
     """The same from JSON lines, splittable; idx is a line's place within its file's read, unique but not dense."""
-    rows = spark.read.schema(schemas.PAYLOAD).json(path)
-    return rows.withColumn("idx", F.monotonically_increasing_id()).withColumn("malformed", F.col("id").isNull() & F.col("transaction").isNull())
+    return transactions_of(spark.read.text(path).select(F.monotonically_increasing_id().alias("idx"), "value"))
 
 
 def references(spark: SparkSession, path: str, dims: int = 14) -> DataFrame:
     """ref_id (place in the array), vector, label; a wrong length or a missing label is an error.
 
-    A JSON array, gzip or not, can't be split: convert once with `store_references`.
+    References are flat objects, so the array is cut at their closing braces and read in splits. Each
+    split's references are counted, and the counts of those before it give its first place. A gzip file
+    is one split: convert it once with `store_references`.
     """
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.posexplode(F.from_json("value", f"array<struct<{_fields(schemas.REFERENCE)}>>")).alias("pos", "r"))
-    return checked(parsed.select(F.col("pos").cast("long").alias("ref_id"), "r.vector", "r.label"), dims)
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    rows = pieces.withColumn("value", F.regexp_replace("value", r"^[\s\ufeff\[,]+", "")).where(F.startswith("value", F.lit("{")))
+    parsed = rows.select("file", "start", "n", F.from_json(F.concat("value", F.lit("}")), schemas.REFERENCE).alias("r"))
+    counts = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("c"))
+    # A row a split of the files.
+    before = F.coalesce(F.sum("c").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("file", "start").orderBy("n")) - 1 + F.col("before")
+    out = parsed.join(counts.select("file", "start", before.alias("before")), ["file", "start"])
+    return checked(out.select(place.cast("long").alias("ref_id"), "r.vector", "r.label"), dims)
 
 
 def checked(refs: DataFrame, dims: int) -> DataFrame:
@@ -49,6 +65,11 @@ def stored_references(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ref_id long, vector array<double>, label string").parquet(path)
 
 
+def test_header(spark: SparkSession, path: str) -> DataFrame:
+    """references_checksum_sha256 and stats of a labeled test file."""
+    return spark.read.schema(schemas.TEST_HEADER).json(path, multiLine=True)
+
+
 def test_file(spark: SparkSession, path: str) -> DataFrame:
     """idx, request, expected_approved, expected_fraud_score of a labeled test file."""
     rows = spark.read.schema(schemas.TEST_FILE).json(path, multiLine=True)
@@ -56,8 +77,10 @@ def test_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def participants(spark: SparkSession, path: str) -> DataFrame:
-    """owner (the file's name), pos, id, repo of a folder of JSON arrays, one file an owner."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("owner"), "value")
+    """owner, pos, id, repo of a folder of JSON arrays: a file NAME.json, or a folder owner=NAME, an owner."""
+    text = spark.read.text(path, wholetext=True)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    text = text.select((F.col("owner") if "owner" in text.columns else name).alias("owner"), "value")
     rows = text.select("owner", F.posexplode(F.from_json("value", f"array<struct<{_fields(schemas.PARTICIPANT)}>>")).alias("pos", "p"))
     return rows.select("owner", "pos", "p.id", "p.repo")
 

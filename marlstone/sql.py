@@ -107,6 +107,39 @@ _NAME = "CASE WHEN p_size % 2 = 0 THEN p_name || '{' || p_type || '}' ELSE '<' |
 _ESCAPED = "replace(replace(replace(replace(replace(n, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&quot;')"
 _WORDS = "words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT substr(c_mktsegment, 1, 4) || CAST(c_nationkey % 7 AS VARCHAR) FROM customer))"
 
+_LAST_KM = _clamp("((n % 1200) / 1000::DOUBLE)")
+_SINCE = _clamp("((n * 61 % 100000) / 60::DOUBLE / 1440::DOUBLE)")
+_SPENT = "CASE WHEN avg_amount = 0 AND amount = 0 THEN 'nan'::DOUBLE WHEN avg_amount = 0 AND amount > 0 THEN 'inf'::DOUBLE WHEN avg_amount = 0 THEN '-inf'::DOUBLE ELSE amount / avg_amount END"
+_PAYLOAD_EXACT = (
+    _clamp("(amount / 10000::DOUBLE)"),
+    _clamp("((n % 13 + 1) / 12::DOUBLE)"),
+    _clamp(f"(({_SPENT}) / 10::DOUBLE)"),
+    "(sec // 3600 % 24) / 23::DOUBLE",
+    "((sec // 86400 + 3) % 7) / 6::DOUBLE",
+    f"CASE WHEN n % 5 = 0 THEN -1.0 ELSE {_SINCE} END",
+    f"CASE WHEN n % 5 = 0 THEN -1.0 ELSE {_LAST_KM} END",
+    _clamp("((n * 37 % 1300) / 1000::DOUBLE)"),
+    _clamp("((n % 25) / 20::DOUBLE)"),
+    "(n % 3 = 0)::INT::DOUBLE",
+    "(n % 4 = 1)::INT::DOUBLE",
+    "(NOT list_contains(list_transform(range(1, n % 4 + 3), lambda i: n * i % 7), n % 9))::INT::DOUBLE",
+    "([0.15, 0.30, 0.20, 0.45, 0.80, 0.75, 0.85, 0.35, 0.25, 0.50, 0.50])[n % 11 + 1]::DOUBLE",
+    _clamp("((n % 997) * 12.5::DOUBLE / 10000::DOUBLE)"),
+)
+_PAYLOAD = f"""p AS (SELECT event_id AS n, value * 20 AS amount, (event_id % 11) * 25::DOUBLE AS avg_amount, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+pv AS (SELECT n AS event_id, {', '.join(f'{_round(x)} AS d{i}' for i, x in enumerate(_PAYLOAD_EXACT))} FROM p)"""
+_PAYLOAD_TOP = f"""{_PAYLOAD}, e2 AS (SELECT event_id, [{', '.join(f'd{i}' for i in range(14))}] AS v, CASE WHEN d12 >= 0.75 THEN 'fraud' ELSE 'legit' END AS label FROM pv),
+      near AS (SELECT a.event_id AS idx, b.event_id AS ref_id, b.label, {' + '.join(f'(a.v[{i}] - b.v[{i}]) * (a.v[{i}] - b.v[{i}])' for i in range(1, 15))} AS d FROM e2 a JOIN e2 b ON true WHERE a.event_id % 20 = 0),
+      top AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, ref_id) AS rank FROM near WHERE NOT isnan(d) QUALIFY rank <= 5)"""
+
+
+def _number(v: str) -> str:
+    return f"CASE WHEN {v} = floor({v}) THEN printf('%.0f', {v}) ELSE {_trim(f"printf('%.10f', {v})")} END"
+
+
+_REFS = "refs AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ref_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN label < 5 THEN 'fraud' ELSE 'legit' END AS label FROM embeddings)"
+_PRINTED = "CASE WHEN event_id % 5 < 2 THEN 'null' WHEN event_id % 4 = 0 THEN CAST(event_id // 4 AS VARCHAR) ELSE CAST(event_id / 4::DOUBLE AS VARCHAR) END"
+
 SQL: dict[str, str] = {
     "q01_vector_score": f"WITH {_DECIDED} SELECT idx, votes, fraud_score, approved FROM decided",
     "q02_knn_l2": f"WITH {_top()} {_ROWS}",
@@ -159,4 +192,27 @@ SQL: dict[str, str] = {
     "q32_metrics": """SELECT event_type AS name, round(avg(value), 6) AS avg, round(min(value), 6) AS min, round(quantile_cont(value, 0.5), 6) AS med, round(max(value), 6) AS max, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95,
       arg_max(value, (ts, event_id)) AS last, round(avg((value > 50)::INT), 6) AS rate, count(*) FILTER (value > 50) AS passes, count(*) FILTER (NOT value > 50) AS fails, CAST(floor(100 * count(*) FILTER (value > 50) / count(*)::DOUBLE) AS BIGINT) AS percent FROM events GROUP BY event_type""",
     "q33_edit_neighbors": f"WITH {_WORDS} SELECT a.word, b.word AS other, CAST(levenshtein(a.word, b.word) AS INT) AS distance FROM words a, words b WHERE levenshtein(a.word, b.word) <= 1",
+    "q46_payload_vectors": f"WITH {_PAYLOAD} SELECT * FROM pv",
+    "q47_references": f"""WITH {_REFS} SELECT ref_id, CAST({_number('v[1]')} AS DOUBLE) AS first, CAST({_number('v[64]')} AS DOUBLE) AS last, len(v) AS dims, label, '[' || {_number('v[1]')} || ',' || {_number('v[2]')} || ']' AS text FROM refs""",
+    "q47b_references_gzip": f"WITH {_REFS} SELECT ref_id, CAST({_number('v[8]')} AS DOUBLE) AS eighth, label FROM refs",
+    "q48_timestamps": """SELECT l_orderkey, l_linenumber, l_partkey, strftime(epoch_ms(e * 1000), '%Y-%m-%dT%H:%M:%SZ') AS text, e AS epoch, CAST(hour(epoch_ms(e * 1000)) AS INT) AS hour, CAST(isodow(epoch_ms(e * 1000)) - 1 AS INT) AS dow
+      FROM (SELECT *, l_orderkey * 86399 + l_partkey * 61 - 40000000 AS e FROM lineitem)""",
+    "q49_json_values": f"""SELECT event_id, '{{"b":[1,"x  y"],"a":' || event_id || ',"b":null}}' AS minified, '{{"list":[' || event_id || ',true],"n":' || event_id || ',"none":null,"type":"' || event_type || '"}}' AS made, event_type AS string, 'null' AS none,
+      true AS any_case, false AS exact_case, abs(event_id / 3::DOUBLE - event_id / 3::DOUBLE * (1 + pow(2, -52))) <= event_id / 3::DOUBLE * (1 + pow(2, -52)) * pow(2, -52) AS close, {_PRINTED} AS printed, '[' || {_PRINTED} || ',' || event_id || ']' AS numbers, '["' || event_type || '","q\\""]' AS strings FROM events""",
+    "q49b_json_items": """SELECT c_custkey, '{"B":1.0,"a":2.0}' AS map, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"set"}' AS set, '{"c_mktsegment":"set"}' AS dropped, c_acctbal AS copy FROM customer""",
+    "q50_value_text": f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN printf('%.2f', floor(l_tax * 100 * 100) / 100::DOUBLE) || '%' WHEN 2 THEN {_BYTES} WHEN 3 THEN {_DURATION} ELSE {_trim(f"printf('%.6f', {_NUMBER})")} END AS text FROM lineitem""",
+    "q51_is_known": """WITH k AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS known FROM orders GROUP BY o_custkey),
+      c AS (SELECT c_custkey, coalesce(list_contains(known, (['1-URGENT', '2-HIGH', '3-MEDIUM', 'none'])[c_custkey % 4 + 1]), false) AS known FROM customer LEFT JOIN k ON c_custkey = o_custkey)
+      SELECT c_custkey, known, (NOT known)::INT::DOUBLE AS unknown FROM c""",
+    "q52_counter": "SELECT event_type AS name, round(sum(value), 6) AS count, round(sum(value) / 120, 6) AS rate FROM events GROUP BY event_type",
+    "q53_upsert_last": """WITH n AS (SELECT o_custkey % 50 AS owner, o_orderpriority AS submission, max(o_orderkey) AS place FROM orders GROUP BY ALL), s(owner, submission, place) AS (VALUES (1, '1-URGENT', -1), (1, 'none', -2))
+      SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.owner = s.owner AND n.submission = s.submission) UNION ALL SELECT * FROM n""",
+    "q54_test_file": f"""WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx, 'tx-' || event_id AS id, (event_id % 6) / 5::DOUBLE AS score, value * 20 AS amount, event_id % 5 = 0 AS first FROM events),
+      s AS (SELECT count(*) AS total, count(*) FILTER (score >= 0.6::DOUBLE) AS fraud_count, {_round('count(*) FILTER (score < 0.6::DOUBLE) / count(*)::DOUBLE')} AS legit_rate, count(*) FILTER (score = 0.6::DOUBLE) AS edge_case_count FROM r)
+      SELECT idx, id, score < 0.6::DOUBLE AS expected_approved, score AS expected_fraud_score, amount, first, s.* FROM r, s""",
+    "q55_participants": """SELECT r_name AS owner, CAST(row_number() OVER w - 1 AS INT) AS pos, n_name AS id, 'repo/' || n_nationkey AS repo, first_value(n_name) OVER w AS first
+      FROM nation JOIN region ON n_regionkey = r_regionkey WINDOW w AS (PARTITION BY r_name ORDER BY n_nationkey)""",
+    "q56_confusion_of_stream": f"""WITH {_PAYLOAD_TOP}, s AS (SELECT idx, {_round("count(*) FILTER (label = 'fraud') / 5.0::DOUBLE")} AS fraud_score FROM top GROUP BY idx)
+      SELECT event_id AS idx, coalesce(fraud_score, 0.0) AS fraud_score, coalesce(fraud_score, 0.0) < 0.6::DOUBLE AS approved FROM pv LEFT JOIN s ON event_id = idx WHERE event_id % 20 = 0""",
+    "q57_config": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0.5::DOUBLE ELSE n_nationkey / 100::DOUBLE END AS risk FROM supplier JOIN nation ON s_nationkey = n_nationkey",
 }

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from marlstone import generate, queries, report, schemas
 from marlstone.cli import parser
+from marlstone.functions import jsonfns as J
+from marlstone.functions import scalar as S
 from marlstone.operators import evaluate as E
 from marlstone.operators import knn as N
 from marlstone.operators import resolve
@@ -20,6 +22,7 @@ from marlstone.sources import readers, writers
 from marlstone.streaming import scorer
 
 SF = "/root/testdata/sf0.1"
+# Two transactions of the documentation.
 LEGIT = {
     "id": "tx-1", "transaction": {"amount": 41.12, "installments": 2, "requested_at": "2026-03-11T18:45:53Z"},
     "customer": {"avg_amount": 82.24, "tx_count_24h": 3, "known_merchants": ["MERC-003", "MERC-016"]},
@@ -35,10 +38,15 @@ FRAUD = {
 
 
 @pytest.fixture(scope="module")
-def payloads(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("p") / "payloads.json"
+def payloads_text():
     last = dict(LEGIT, last_transaction={"timestamp": "2026-03-11T17:45:53Z", "km_from_current": 100})
-    path.write_text(json.dumps([LEGIT, FRAUD, last, dict(LEGIT, customer=dict(LEGIT["customer"], avg_amount=0))]))
+    return json.dumps([LEGIT, FRAUD, last, dict(LEGIT, customer=dict(LEGIT["customer"], avg_amount=0))])
+
+
+@pytest.fixture(scope="module")
+def payloads(spark, tmp_path_factory, payloads_text):
+    path = tmp_path_factory.mktemp("p") / "payloads.json"
+    path.write_text(payloads_text)
     return readers.payloads(spark, str(path))
 
 
@@ -80,14 +88,15 @@ def test_approximate_plans(spark, plan):
     rows = [(i, v.tolist(), "fraud") for i, v in enumerate(rng.random((600, 14)))]
     r = spark.createDataFrame(rows, "ref_id long, vector array<double>, label string")
     q = r.where("ref_id < 60").select(F.col("ref_id").alias("idx"), "vector")
-    found = N.knn(q, r, 5, plan=plan, skip_self=True, probes=8, width=2.0, tables=6)
-    assert N.recall(found, N.knn(q, r, 5, skip_self=True)) > 0.7
+    found = N.knn(q, r, 5, plan=plan, skip_self=True, probes=8, width=0.3, tables=6)
+    assert N.recall(found, N.knn(q, r, 5, skip_self=True)) >= 0.9
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 @pytest.mark.parametrize("name", ["q40_knn_cells", "q41_knn_hashes", "q42_knn_graph"])
 def test_recall_as_registered(spark, name):
-    assert N.recall(queries.QUERIES[name](spark, SF), queries.QUERIES["q02_knn_l2"](spark, SF)) >= 0.9
+    found = queries.QUERIES[name](spark, SF)
+    assert N.recall(found, queries.QUERIES["q02_knn_l2"](spark, SF)) >= 0.9 and found.agg(F.min("recall")).first()[0] >= 0.9
 
 
 def test_nan_and_few_references(spark):
@@ -216,6 +225,159 @@ def test_stream(spark, tmp_path):
     assert sum(seen.values()) == 200 and not scorer.health(query)["active"]
 
 
+def test_elements_that_are_no_transactions(spark, tmp_path, payloads_text):
+    good = json.loads(payloads_text)[:2]
+    path = tmp_path / "payloads.json"
+    path.write_text("\ufeff" + json.dumps([good[0], {"id": 5, "transaction": "x"}, 7, None, good[1], {**good[0], "transaction": {**good[0]["transaction"], "amount": "much"}}]))
+    rows = readers.payloads(spark, str(path)).orderBy("idx").collect()
+    assert [r["malformed"] for r in rows] == [False, True, True, True, False, True] and [r["idx"] for r in rows] == list(range(6))
+    assert rows[4]["transaction"]["amount"] == good[1]["transaction"]["amount"]
+    path.write_text(json.dumps(good)[:-3])
+    assert [r["malformed"] for r in readers.payloads(spark, str(path)).collect()] == [True]
+    lines = tmp_path / "lines.json"
+    lines.write_text("\n".join([json.dumps(good[0]), "{oops", json.dumps(good[1])]))
+    assert sorted(r["malformed"] for r in readers.payload_lines(spark, str(lines)).collect()) == [False, False, True]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_vectors_in_any_time_zone(spark, payloads, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    want = [tuple(r["vector"]) for r in vectorize(payloads).orderBy("idx").collect()]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert [tuple(r["vector"]) for r in vectorize(payloads).orderBy("idx").collect()] == want
+        t = spark.sql("SELECT explode(array(0L, -1L, 1773253553L, 4102444799L)) AS e")
+        got = t.select(S.timestamp_text(F.col("e")), S.epoch_of(S.timestamp_text(F.col("e"))), "e").collect()
+        assert [r[0] for r in got] == ["1970-01-01T00:00:00Z", "1969-12-31T23:59:59Z", "2026-03-11T18:25:53Z", "2099-12-31T23:59:59Z"] and all(r[1] == r[2] for r in got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_references_in_splits(spark, tmp_path):
+    import gzip
+
+    made = [{"vector": [round(i / 7, 4)] * 14, "label": "fraud" if i % 3 else "legit"} for i in range(4000)]
+    compact, pretty = tmp_path / "compact.json", tmp_path / "pretty.json"
+    compact.write_text(json.dumps(made, separators=(",", ":")))
+    pretty.write_text("\ufeff" + json.dumps(made, indent=2) + "\n")
+    with gzip.open(tmp_path / "small.json.gz", "wt") as f:
+        f.write(json.dumps(made))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        for path in (compact, pretty, tmp_path / "small.json.gz"):
+            df = readers.references(spark, str(path))
+            got = df.orderBy("ref_id").collect()
+            assert [(r["ref_id"], r["vector"], r["label"]) for r in got] == [(i, m["vector"], m["label"]) for i, m in enumerate(made)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_command_line_round_trip(spark, tmp_path):
+    from marlstone import cli
+
+    out, refs = str(tmp_path / "test-data"), str(tmp_path / "refs")
+    assert cli.main(["--refs", "50", "--payloads", "40", "--refs-out", refs, "--payloads-out", out]) == 0
+    entries = readers.test_file(spark, out).orderBy("idx").collect()
+    header = readers.test_header(spark, out).collect()
+    assert len(entries) == 40 and [r["idx"] for r in entries] == list(range(40)) and len(header) == 1
+    stats = header[0]["stats"]
+    assert stats["total"] == 40 and stats["fraud_count"] == sum(not r["expected_approved"] for r in entries) and len(header[0]["references_checksum_sha256"]) == 64
+    whole = json.loads("".join(x.read_text() for x in sorted((tmp_path / "test-data").glob("part-*"))))
+    assert list(whole) == ["references_checksum_sha256", "stats", "entries"] and len(whole["entries"]) == 40
+    again = scoring.decide(readers.test_file(spark, out).select("idx", "request.*"), readers.stored_references(spark, refs)).collect()
+    off = sum({r["idx"]: r["fraud_score"] for r in again}[r["idx"]] != r["expected_fraud_score"] for r in entries)
+    assert off <= 1  # printed numbers may differ at a rounding edge
+    assert cli.main(["--refs-in", refs, "--reuse-refs", "--payloads", "5", "--payloads-out", out, "--pretty-json"]) == 0
+    assert readers.test_file(spark, out).count() == 5
+
+
+def test_the_last_of_repeated_keys_is_stored(spark):
+    store = spark.createDataFrame([("a", "x", 1, 0), (None, "y", 2, 0)], "owner string, submission string, v int, at int")
+    new = spark.createDataFrame([("a", "x", 9, 1), ("a", "x", 3, 2), (None, "y", 7, 1), ("b", "z", 5, 1), ("b", "z", 4, 3)], store.schema)
+    got = {(r["owner"], r["submission"]): r["v"] for r in writers.upsert(store, new, ["owner", "submission"], "at").collect()}
+    assert got == {("a", "x"): 3, (None, "y"): 7, ("b", "z"): 4} and writers.upsert(store, new, ["owner", "submission"], "at").count() == 3
+
+
+def test_served_decisions(spark, payloads_text, payloads):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from marlstone import serve
+
+    refs = generate.references(spark, 60)
+    made = serve.server(refs, port=0, timeout=60)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{made.server_address[1]}"
+
+    def post(body: str) -> tuple[int, dict]:
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + "/fraud-score", body.encode(), {"Content-Type": "application/json"})) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, {}
+
+    try:
+        with urllib.request.urlopen(base + "/ready") as r:
+            assert r.status == 200
+        bodies = [json.dumps(x) for x in json.loads(payloads_text)]
+        answers: dict[int, tuple[int, dict]] = {}
+        threads = [threading.Thread(target=lambda i=i: answers.__setitem__(i, post(bodies[i]))) for i in range(len(bodies))]
+        for t in threads:
+            t.start()
+        assert post("{oops")[0] == 400 and post('{"id": "x"}')[0] == 400
+        for t in threads:
+            t.join()
+        want = {r["idx"]: (200, {"approved": r["approved"], "fraud_score": r["fraud_score"]}) for r in scoring.decide(payloads, refs).collect()}
+        assert answers == want
+    finally:
+        made.shutdown()
+        made.server_close()
+        made.scorer.close()
+
+
+def test_approximate_p99(spark):
+    rows = spark.range(20_000).select((F.col("id") % 7).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(100_000)) / 10).alias("duration_ms"))
+    exact = {r["g"]: sorted(x["duration_ms"] for x in rows.where(F.col("g") == r["g"]).collect()) for r in rows.select("g").distinct().collect()}
+    for r in E.p99_approximate(rows, ["g"]).collect():
+        at = np.searchsorted(exact[r["g"]], r["p99"], side="right") / len(exact[r["g"]])
+        assert abs(at - 0.99) < 0.001
+    judged = rows.select(F.lit("tp").alias("class"), "duration_ms")
+    assert abs(E.result(judged, exact=False).first()["p99"] - E.result(judged).first()["p99"]) < 20
+
+
+def test_json_values(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    text = '{ "b": 1, /* c */ "a" : "x  // y", "b" : 2 } // end'
+    assert value(J.minified(F.lit(text))) == '{"b":1,"a":"x  // y","b":2}'
+    assert [value(J.print_number(F.lit(x))) for x in (1.0, -2.5, float("nan"), float("-inf"), 0.1)] == ["1", "-2.5", "null", "null", "0.1"]
+    assert value(J.unparse(F.struct(J.finite(F.lit(float("nan"))).alias("a"), J.finite(F.lit(1.5)).alias("b")))) == '{"b":1.5}'
+    same = lambda a, b, case=True: value(J.compare(F.lit(a), F.lit(b), case))
+    assert same('{"a":[1,{"b":0.1}],"c":null}', '{"c":null,"a":[1.0,{"b":0.10000000000000002}]}') and not same('{"a":1}', '{"A":1}') and same('{"a":1}', '{"A":1}', False)
+    assert not same("[1,2]", "[2,1]") and not same("1", "true") and not same("{oops", "{oops") and not same('{"a":1}', '{"a":1,"b":2}')
+    assert value(J.kind(J.null_value())) == "null" and value(J.string_value(J.raw_value(F.lit('"x"')))) == "x"
+
+
+def test_reports_leave_nothing_out(spark):
+    many = spark.range(10_050).select(F.concat(F.lit("m"), "id").alias("metric"), F.lit("p<1").alias("threshold"), (F.col("id") % 2 == 0).alias("ok"))
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring(report.thresholds_xml(many, "all & more"))
+    assert root.attrib == {"tests": "10050", "failures": "5025"} and len(root[0]) == 10_050 and root[0].attrib["name"] == "all & more"
+    assert sum(len(case) for case in root[0]) == 5025
+    assert len(report.table(many).splitlines()) == 10_050 + 4
+
+
+def test_groups_of_checks(spark):
+    checks = spark.createDataFrame([("", "root", 2, 0, 0), ("a::b", "inner", 1, 1, 2), ("a", "outer", 3, 0, 1)], "group string, name string, passes long, fails long, at long")
+    lines = report.checks_text(checks, " ").splitlines()
+    assert lines == [" ✓ root", "", " █ a", "", "   ✓ outer", "", "   █ b", "", "     ✗ inner", "      ↳  50% — ✓ 1 / ✗ 1"]
+    m = spark.createDataFrame([("a", "10")], "name string, value string")
+    assert report.summary_text(checks, m).endswith("   a...: 10")
+
+
 def test_reports(spark):
     stages = spark.createDataFrame([(1, 120, 900)], "stage int, duration int, target int")
     box = report.table(E.ramp(stages, 1), {"stage": "total", "cumulative": 54060})
