@@ -415,7 +415,7 @@ def test_scores(docs, rows, empty):
         assert r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
     by_text = defaultdict(set)
     for r in got:
-        by_text[next(iter(text[r["doc_id"]]))].add(round(r["score"], 6))
+        by_text[next(iter(text[r["doc_id"]])), r["held_out"]].add(round(r["score"], 6))
     assert all(len(s) == 1 for s in by_text.values())
     assert lm.score(empty).count() == 0
 
@@ -464,22 +464,108 @@ def test_the_model_is_a_distribution():
 def test_each_id_is_scored_once_whatever_the_batch():
     model, texts = small_model()
     ids = [lm.ids_of(lm.words_of(t)) for t in texts[:6]] + [np.zeros(0, np.int64)]
-    together = model.scores(ids)
+    together = model.each(ids)
     alone = [model.score(i) for i in ids]
-    assert together == pytest.approx(alone, rel=1e-6) and model._long(ids[0]) == pytest.approx(alone[0], rel=1e-6)
+    sums = np.add.reduceat(together, np.cumsum([0, *(len(i) + 1 for i in ids[:-1])]))
+    assert sums == pytest.approx(alone, rel=1e-6) and np.concatenate(model._long(ids[0])).sum() == pytest.approx(alone[0], rel=1e-6)
+    long = np.concatenate([ids[0]] * 60)
+    assert len(long) > 4 * lm._AT_ONCE and model.each([ids[1], long])[len(ids[1]) + 1 :].sum() == pytest.approx(model._some([long]).sum(), rel=1e-6)
     # causal: what follows doesn't change what was predicted
     a, b = np.concatenate((np.full(16, lm.PAD), ids[0][:32])), np.concatenate((np.full(16, lm.PAD), ids[0][:20], ids[1][:12]))
     prev = lambda x: np.concatenate(([lm.PAD], x[:-1]))
     assert model._windows(a, prev(a))[:20] == pytest.approx(model._windows(b, prev(b))[:20], abs=1e-5)
 
 
+def plain_logp(model, ids):
+    """Of each id and the end: one position at a time, with plain sums."""
+    w, out = model.weights, []
+    line = [lm.PAD] * (lm.STRIDE + 1) + [int(i) for i in ids] + [lm.END]
+    d, v = w["Q"].shape[1], w["V"].shape[1]
+    wq, wk, wv = (w["QKV"][:, a:b].astype(float) for a, b in ((0, d), (d, 2 * d), (2 * d, 2 * d + v)))
+    for t in range(lm.STRIDE + 1, len(line)):
+        nth = (t - lm.STRIDE - 1) % lm.STRIDE  # within the last half of its window
+        first = t - 1 - nth - lm.STRIDE  # the window's first input
+        x = w["E"][model.row[line[t - 1]]].astype(float)
+        q, top, total = x @ wq, np.zeros(v), 0.0
+        for k in range(first, t):
+            y = w["E"][model.row[line[k] if k >= 0 else lm.PAD]].astype(float)
+            a = math.exp(min(30.0, max(-30.0, float(q @ (y @ wk)))) + float(w["bias"][nth, k - first]))
+            top, total = top + a * (y @ wv), total + a
+        z = np.clip((x + top / total @ w["O"]) @ w["U"] + w["c"], -30, 30)
+        own = math.log10(math.exp(z[model.cls[line[t]]]) / sum(math.exp(c) for c in z))
+        out.append(own + float(model.within.log10(np.array([line[t - 1]]), np.array([line[t]]))[0]))
+    return out
+
+
+def test_the_model_against_a_plain_loop():
+    model, texts = small_model()
+    ids = lm.ids_of(lm.words_of(texts[3]))[:70]
+    assert model.each([ids]) == pytest.approx(plain_logp(model, ids), abs=2e-4)
+
+
+def test_blocks_and_what_is_remembered(spark):
+    rng = random.Random(4)
+    a, b, c = prose(rng, "en", 100), prose(rng, "en", 100), prose(rng, "de", 40)
+    words = [lm.words_of(t) for t in (a, "", c)]
+    length, base = np.ones(140, np.int64), np.where(np.arange(140) % 3 == 0, -np.inf, -2.0)
+    lm_each = np.linspace(-5, -1, 143)
+    got, many = lm.mixed(words, length, base, lm_each, -1.0, 0.3)
+    each, known = iter(lm_each), iter(base)
+    want = []
+    for t in words:
+        of = [math.log10(0.3 * 10 ** next(known) + 0.7 * 10 ** next(each)) for _ in t] + [math.log10(0.3 * 0.1 + 0.7 * 10 ** next(each))]
+        want += [sum(of[i : i + 32] if i + 32 < len(t) else of[i:]) for i in range(0, max(1, len(t)), 32)]
+    assert many.tolist() == [4, 1, 2] and got == pytest.approx(want)
+    # Counts with a document's own occurrence left out.
+    training = [a, a, b, c, c, c, c + " more", " ".join([c] * 4)]
+    scored = [(i, False, t) for i, t in enumerate(training)] + [(100, True, b), (101, True, "x y z"), (102, True, c + " less")]
+    pairs, after = Counter(), Counter()
+
+    def steps(t):
+        h = lm.blocks_of(lm.words_of(t))
+        return list(zip([0, *h[:-1]], h, strict=True))
+
+    for t in training:
+        pairs.update(steps(t))
+        after.update(x for x, _ in steps(t))
+    kinds = Counter(x for x, _ in pairs)
+    rows, want = [], {}
+    for row, held, t in scored:
+        own, first, gain = Counter(steps(t)), Counter(x for x, _ in steps(t)), 0.0
+        rows.append((row, held, [(x, y, -3.0, own[x, y], first[x]) for x, y in steps(t)]))
+        for x, y in steps(t):
+            n, m = after[x] - (0 if held else first[x]), pairs[x, y] - (0 if held else own[x, y])
+            if n > 0:
+                k = max(1, kinds[x] - (m == 0 and pairs[x, y] > 0))
+                gain += math.log10(m / (n + k) + k / (n + k) * 10**-3.0) + 3.0
+        want[row] = gain
+    df = spark.createDataFrame(rows, "row long, held_out boolean, seen array<struct<ctx:long,block:long,lm:double,c:long,n:long>>")
+    got = {r["row"]: r["gain"] for r in lm.remembered(df, lm.count_blocks(spark.createDataFrame([(t,) for t in training], "text string"))).collect()}
+    assert got == pytest.approx({k: v for k, v in want.items()}) and got[0] > 8 > 0 > got[2] and got[100] > 8
+
+
+def test_documents_that_occur_twice_stand_out(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, "en", rng.randint(60, 200)) for _ in range(260)]
+    rows = list(enumerate(texts + texts[:20]))
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    learned = lambda d: zlib.crc32(str(d).encode()) % 10 != 0
+    mean = {r["doc_id"]: r["score"] / r["n_tokens"] for r in got}
+    twice = [d for d in range(20) if learned(d + 260)]
+    alone = [mean[d] for d in range(20, 260)]
+    assert min(mean[d] for d in twice) > max(alone)
+    out = [r for r in got if 20 <= r["doc_id"] < 260 and not learned(r["doc_id"])]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
 def test_lexicon():
     words = lm.words_of("The cat\tsat ON the\x0bmat\x1cx   end ÄÖ")
     assert words[:5] == [b"the", b"cat", b"sat", b"on", b"the"] and "Ä".encode() in words[-1]
     lexicon = lm.Lexicon([b"the", b"cat"], np.array([-1.0, -2.0]))
-    ids, known, logp, others = lexicon.read([words, [], [b"cat"]])
+    ids, length, logp, others = lexicon.read([words, [], [b"cat"]])
     assert [i.tolist() for i in ids] == [lm.ids_of(w).tolist() for w in (words, [], [b"cat"])]
-    assert known.tolist() == [3, 0, 1] and logp == pytest.approx([-4, 0, -2]) and others[1:] == [[], []]
+    assert np.flatnonzero(np.isfinite(logp)).tolist() == [0, 1, 4, len(words)] and logp[[0, 1, 4, -1]] == pytest.approx([-1, -2, -1, -2])
+    assert length.sum() == sum(map(len, ids)) and others[1:] == [[], []]
 
 
 def test_fitted_windows_grow_with_the_corpus(spark, monkeypatch):
@@ -502,7 +588,7 @@ def test_fitted_windows_grow_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(lm, "train_on", lambda w, total, p, *model: (done.append((total, p["U"].copy())), real(w, total, p, *model), done.append(p["U"])))
     model = lm.learn(every, 400, np.bincount(ids, minlength=lm.VOCAB), np.zeros((0, 0)), np.zeros(0, np.int64), most=20, share=1)
     assert done[0][0] == sum(windows(t) for _, t in texts[:400]) and np.abs(done[0][1] - done[1]).max() > 1e-4
-    assert np.isfinite(model.scores([ids[:50]])).all()
+    assert np.isfinite(model.each([ids[:50]])).all()
 
 
 # the pipeline and the registry
