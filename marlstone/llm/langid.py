@@ -11,6 +11,10 @@ SAMPLE in all and SAMPLE_BYTES of text in all at most (these are parameters; tex
 of a language's bytes come last, and a language keeps one text at least): their whole texts become
 sparse counts on the executors, and dual coordinate descent on the driver fits the machines.
 
+`keep_known` rejects what the machines can't judge: text whose pairs of bytes are mostly none of those
+that the training texts are made of, as in another script. The share that is asked for is HALF of the
+least one among the training texts, or HALF if that is less, so their like stays.
+
 Null text, or text without a letter, gets `und` and score 0; so does every row if nothing could
 be learned. Rows with a null doc_id count as held out. Repeated rows and equal texts get equal
 predictions; ties between languages go to the first by code point. Empty tables give empty
@@ -52,6 +56,10 @@ _OFFSETS = (0, _SIZES[0], _SIZES[0] + _SIZES[1])
 DIM = sum(_SIZES)
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[:128] = [b if chr(b).isalpha() else 32 for b in range(128)]
+_BLANKS = 32 << 8 | 32
+HALF = 0.5
+#: A pair of bytes is familiar from this share of all on.
+_FAMILIAR = 1e-6
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes of text looked up at a time.
 _CHUNK = 1 << 20
@@ -89,6 +97,23 @@ class Model:
     pairs: dict[tuple[str, str], int] = field(default_factory=dict)
     weights: np.ndarray | None = None
     slopes: list[float] = field(default_factory=list)
+    #: Pairs of bytes that the training texts are made of, and the least share of them in a text that is kept.
+    familiar: np.ndarray | None = None
+    least: float = 0.0
+
+    def shares(self, texts: list[str]) -> np.ndarray:
+        """Of each text's pairs of bytes, the share that is familiar."""
+        out = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            raw = np.frombuffer(_bytes(t), np.uint8)
+            known = total = 0
+            for lo in range(0, len(raw) - 3, _CHUNK):
+                pairs = next(grams(_BLANK[raw[lo : lo + _CHUNK + 3]]))
+                pairs = pairs[pairs != _BLANKS]
+                known += int(np.count_nonzero(self.familiar[pairs]))
+                total += len(pairs)
+            out[i] = known / max(1, total)
+        return out
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x machines) sums of weights, and each text's number of n-grams a size."""
@@ -194,6 +219,14 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         model.pairs[a, b] = len(weights)
         model.slopes.append(_slope(z, y))
         weights.append(w.astype(np.float32))
+    pairs = [(i[i < _SIZES[0]], v[i < _SIZES[0]]) for _, i, v in samples]
+    counts = np.zeros(_SIZES[0])
+    for i, v in pairs:
+        counts[i] += v
+    counts[_BLANKS] = 0
+    model.familiar = counts >= max(2.0, _FAMILIAR * counts.sum())
+    inside = [(v[model.familiar[i]].sum(), v[i != _BLANKS].sum()) for i, v in pairs]
+    model.least = HALF * min(1.0, min((a / b for a, b in inside if b), default=1.0))
     model.weights = np.array(weights, dtype=np.float32).reshape(len(weights), DIM)
     return model
 
@@ -250,7 +283,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns as they were, whose text has a language of at least that score.
+    """The rows of docs, all columns as they were, whose text has a language of at least that score and is made of familiar pairs of bytes.
 
     If nothing could be learned, all text with a letter stays.
     """
@@ -261,7 +294,8 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
         for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             if shared.value.languages:
-                keep = [a != "und" and s >= least for a, s in zip(*shared.value.predict(texts), strict=True)]
+                share = shared.value.shares([t or "" for t in texts])
+                keep = [a != "und" and s >= least and f >= shared.value.least for a, s, f in zip(*shared.value.predict(texts), share.tolist(), strict=True)]
             else:
                 keep = [bool(t and _LETTER.search(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -11,9 +11,10 @@ All of it is DataFrame functions; a row is read once and no row leaves its parti
   before the span, whatever else is found there, adds CONTEXT. Kinds that the method adds (`iban`, `phone_local`) need LEAST; the four base
   kinds are always kept.
 
-Positions are in code points, end exclusive. Null text counts as empty. Empty tables give empty
-results. Repeated rows give repeated results. Extra columns are ignored by `find` and kept by
-`redact`.
+Positions are in code points, end exclusive. Null text counts as empty. Very long texts are read
+whole, each in its row. Ties don't occur: spans of one kind don't overlap, and kinds are listed apart.
+Empty tables give empty results. Repeated rows give repeated results. Extra columns are ignored by
+`find` and kept by `redact`.
 """
 
 from __future__ import annotations

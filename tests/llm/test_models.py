@@ -42,6 +42,46 @@ def test_language(docs, rows, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"} and langid.keep_known(docs, nothing).count() == kept.count()
 
 
+def test_predictions_against_a_plain_loop(docs, rows):
+    model = langid.train(docs, per_lang=60)
+    got = {}
+    for r in langid.predict(docs, model).collect():
+        got.setdefault(r["doc_id"], (r["lang_pred"], r["score"]))
+
+    def duel(names, z, p):
+        won = {a: 0.0 for a in names}
+        least, margin = dict.fromkeys(names, 1.0), dict.fromkeys(names, 0.0)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                k = model.pairs[a, b]
+                won[a if z[k] >= 0 else b] += 1
+                margin[a], margin[b] = margin[a] + z[k], margin[b] - z[k]
+                least[a], least[b] = min(least[a], p[k]), min(least[b], 1 - p[k])
+        best = max(names, key=lambda n: (won[n], margin[n]))
+        return best, least[best]
+
+    for d, t, _, _ in rows:
+        if d is None or not t or len(t) > 50_000 or not any(unicodedata.category(c)[0] == "L" for c in t):
+            continue
+        index, count = langid.features(t)
+        z = [float(w[index].astype(float) @ count) / math.sqrt(count.sum() / 3) for w in model.weights]
+        p = [1 / (1 + math.exp(-a * x)) for a, x in zip(model.slopes, z, strict=True)]
+        if min(abs(x) for x in z) < 1e-3:
+            continue  # single precision may decide otherwise
+        family, sure = duel(list(model.families), z, p)
+        lang, q = duel(model.families[family], z, p)
+        assert got[d][0] == lang and got[d][1] == pytest.approx(sure * q, abs=1e-3)
+
+
+def test_other_scripts_are_rejected(spark, docs):
+    model = langid.train(docs, per_lang=60)
+    foreign = ["Это совершенно другой язык и другая письменность", "これは別の言語で書かれた文章です", "هذا نص مكتوب بلغة أخرى", "schungen oreau theing verein leitre", "verschung eingen ichzu zuein schver: слово"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in langid.keep_known(df, model).collect()) == [3, 4]
+    lettered = langid.predict(docs, model).where("lang_pred <> 'und'").count()
+    assert langid.keep_known(docs, model).count() == lettered
+
+
 def test_sums_do_not_depend_on_the_batch():
     rng = random.Random(0)
     texts = [prose(rng, "de", n) for n in (1, 5, 400, 2)]
