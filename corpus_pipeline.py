@@ -21,15 +21,14 @@ from marlstone.llm import langid, mixing, neardup, packing, pii
 from marlstone.llm.common import materialize, small_batches, table
 from marlstone.shared import drop, written
 
-#: Documents whose language is less certain than this are rejected; so are those without a letter.
-#: With the four languages of the tables no score of lettered text is that low.
-LEAST_LANGUAGE_SCORE = 0.05
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects null and letterless text. Text in a language that the labelled ones don't teach stays: with few languages no score is below 0.25."""
+    """Rejects null and letterless text, and text of other bytes than the labelled languages are written in, as in another script.
+
+    Text in another language of the same script stays: of few languages the machines always find one likely.
+    """
     small_batches(spark)
-    return langid.keep_known(docs, langid.train(docs), LEAST_LANGUAGE_SCORE)
+    return langid.keep_known(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
