@@ -471,8 +471,8 @@ def q55_participants(spark, sf_dir):
 
 
 @query
-def q56_confusion_of_stream(spark, sf_dir):
-    """Transactions arrive as files; each is decided alone against the references, and outcomes are counted."""
+def q56_stream_scores(spark, sf_dir):
+    """Transactions arrive as files; each is decided alone against the references."""
     rows = vectorize(P.payloads(_table(spark, sf_dir, "events"))).select("idx", "vector")
     rows = materialize(rows, "rows")
     fraud = F.when(F.get("vector", F.lit(12)) >= 0.75, "fraud").otherwise("legit")

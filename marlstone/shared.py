@@ -47,13 +47,15 @@ def hold(df: DataFrame) -> DataFrame:
     """df, kept on the executors' disks once computed, for narrow tables that are read more than once.
 
     No lineage is cut: what a lost executor held is computed again. Attributes are new, as after materialize().
+    The next query's ship() lets go of it; who still reads it then computes it again.
     """
     _held.append(df.persist(StorageLevel.DISK_ONLY))
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors' Python workers this package, wherever the driver found it; once an application."""
+    """Give the executors' Python workers this package, wherever the driver found it; once an application. Lets go of what earlier queries hold."""
+    release()
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return spark
@@ -84,8 +86,15 @@ def drop(since: int, until: int) -> None:
     for spark, path in _written[since:until]:
         _delete(spark, path)
     _written[since:until] = []
+    release()
+
+
+def release() -> None:
+    """Let go of all that is held."""
     while _held:
-        _held.pop().unpersist()
+        df = _held.pop()
+        if df.sparkSession.sparkContext._jsc is not None:
+            df.unpersist()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -212,7 +212,7 @@ SQL: dict[str, str] = {
       SELECT idx, id, score < 0.6::DOUBLE AS expected_approved, score AS expected_fraud_score, amount, first, s.* FROM r, s""",
     "q55_participants": """SELECT r_name AS owner, CAST(row_number() OVER w - 1 AS INT) AS pos, n_name AS id, 'repo/' || n_nationkey AS repo, first_value(n_name) OVER w AS first
       FROM nation JOIN region ON n_regionkey = r_regionkey WINDOW w AS (PARTITION BY r_name ORDER BY n_nationkey)""",
-    "q56_confusion_of_stream": f"""WITH {_PAYLOAD_TOP}, s AS (SELECT idx, {_round("count(*) FILTER (label = 'fraud') / 5.0::DOUBLE")} AS fraud_score FROM top GROUP BY idx)
+    "q56_stream_scores": f"""WITH {_PAYLOAD_TOP}, s AS (SELECT idx, {_round("count(*) FILTER (label = 'fraud') / 5.0::DOUBLE")} AS fraud_score FROM top GROUP BY idx)
       SELECT event_id AS idx, coalesce(fraud_score, 0.0) AS fraud_score, coalesce(fraud_score, 0.0) < 0.6::DOUBLE AS approved FROM pv LEFT JOIN s ON event_id = idx WHERE event_id % 20 = 0""",
     "q57_config": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0.5::DOUBLE ELSE n_nationkey / 100::DOUBLE END AS risk FROM supplier JOIN nation ON s_nationkey = n_nationkey",
 }

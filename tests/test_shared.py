@@ -1,5 +1,7 @@
 import zipfile
+from types import SimpleNamespace
 
+import pytest
 from pyspark import SparkFiles
 
 from marlstone import shared
@@ -13,3 +15,30 @@ def test_cut_and_ship(spark):
     assert len(names) == 1
     with zipfile.ZipFile(SparkFiles.get(names[0])) as z:
         assert "marlstone/shared.py" in z.namelist()
+
+
+def test_held_tables(spark):
+    made = spark.range(100).selectExpr("id", "rand() AS x")
+    kept = shared.hold(made)
+    first = sorted(map(tuple, kept.collect()))
+    assert sorted(map(tuple, kept.collect())) == first and kept.columns == ["id", "x"]
+    assert kept.join(shared.hold(kept).withColumnRenamed("x", "y"), "id").where("x <> y").count() == 0
+    shared.ship(spark)
+    assert not shared._held and kept.count() == 100
+
+
+def test_written_files_are_dropped(spark):
+    import glob
+
+    folder = shared.shared_dir(spark).removeprefix("file:")
+    since = shared.written()
+    shared.materialize(spark.range(3), "dropped")
+    kept = shared.materialize(spark.range(3), "kept")
+    shared.drop(since, shared.written() - 1)
+    assert not glob.glob(f"{folder}/dropped-*") and glob.glob(f"{folder}/kept-*") and kept.count() == 3
+
+
+def test_a_cluster_must_name_its_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
