@@ -16,7 +16,7 @@ similarity of theirs is at least THRESHOLD, and classes are the components of th
    the bucket's largest component against each other and against that component. Tiles see
    signatures of one byte a coordinate only, each pair once over all bands.
 6. Pairs are judged by signature where that is beyond doubt (four standard deviations), else by
-   the exact similarity of the whole texts, which are fetched for doubtful pairs only.
+   the exact similarity of the whole texts, which are fetched for members of doubtful pairs only.
 
 So no pair of a bucket is left untested except within a component. A pair at exactly 0.8 shares
 no bucket with probability 0.0006, at 0.85 under 0.00001.
@@ -239,18 +239,15 @@ class _Forest:
         return x != y
 
 
-_PAIRS = "band long, lo int, hi int, a long, b long, ca long, cb long, guess double"
+_FOUND = "band long, lo int, hi int, id long, comp long, block int, link long"
 
 
-def _tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a tile's members by signature: the sure links that join components (guess 1), the likeliest first, and the
-    doubtful pairs between what is apart then. A pair belongs to the first band its members share."""
-    lo, hi = int(key[1]), int(key[2])
-    pdf = pdf.reset_index(drop=True)
-    ids, comp, w, block = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["weight"].to_numpy(float), pdf["block"].to_numpy()
+def _near(band: int, lo: int, hi: int, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, guess): a tile's pairs that aren't hopeless by signature. A pair belongs to the first band its members share."""
+    comp, w, block = pdf["comp"].to_numpy(), pdf["weight"].to_numpy(float), pdf["block"].to_numpy()
     sig = np.frombuffer(b"".join(pdf["bytes"]), np.uint8).reshape(-1, K)
     bands = np.stack(pdf["bands"].to_numpy())
-    here = int(np.flatnonzero(bands[0] == int(key[0]))[0])
+    here = int(np.flatnonzero(bands[0] == band)[0])
     right = np.flatnonzero(block == hi)
     found_i, found_j, guesses = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for i in np.flatnonzero(block == lo):
@@ -263,36 +260,45 @@ def _tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found_i.append(np.full(near.sum(), i))
         found_j.append(j[near])
         guesses.append(guess[near])
-    i_, j_, g_ = (np.concatenate(x) for x in (found_i, found_j, guesses))
+    return np.concatenate(found_i), np.concatenate(found_j), np.concatenate(guesses)
+
+
+def _tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a tile's members by signature: a row a sure link that joins components (comp, link), the likeliest first; and, without
+    a link, each member of doubtful pairs between what is apart then, with its component as it is then."""
+    band, lo, hi = (int(k) for k in key)
+    pdf = pdf.reset_index(drop=True)
+    comp = pdf["comp"].to_numpy()
+    i, j, guess = _near(band, lo, hi, pdf)
     forest = _Forest()
-    sure = np.flatnonzero(g_ >= SURE)
-    keep = [n for n in sure[np.argsort(-g_[sure], kind="stable")].tolist() if forest.join(int(comp[i_[n]]), int(comp[j_[n]]))]
-    g_[keep] = 1.0
-    doubt = np.flatnonzero(g_ < SURE)
+    sure = np.flatnonzero(guess >= SURE)
+    links = [n for n in sure[np.argsort(-guess[sure], kind="stable")].tolist() if forest.join(int(comp[i[n]]), int(comp[j[n]]))]
     root = np.array([forest.top(int(c)) for c in comp], np.int64)
-    doubt = doubt[root[i_[doubt]] != root[j_[doubt]]]
-    some = np.concatenate((np.array(keep, np.int64), doubt))
-    i, j = i_[some], j_[some]
-    return pd.DataFrame({"band": int(key[0]), "lo": lo, "hi": hi, "a": ids[i], "b": ids[j], "ca": comp[i], "cb": comp[j], "guess": g_[some]})
+    apart = (guess < SURE) & (root[i] != root[j])
+    doubt = np.unique(np.concatenate((i[apart], j[apart])))
+    at = np.concatenate((i[links], doubt))
+    out = pd.DataFrame({"band": band, "lo": lo, "hi": hi, "id": pdf["id"].to_numpy()[at], "comp": np.concatenate((comp[i[links]], root[doubt])), "block": pdf["block"].to_numpy()[at]})
+    return out.assign(link=pd.array([*comp[j[links]].tolist(), *[None] * len(doubt)], dtype="Int64"))
 
 
-def _weigh(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-    """Of a tile's doubtful pairs, the likeliest first: links that join components, by exact similarity."""
-    text = dict(zip(texts["id"].tolist(), texts["text"], strict=True))
+def _weigh(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the members of a tile's doubtful pairs: the links that join components by exact similarity, the likeliest first."""
+    pdf = pdf.reset_index(drop=True)
+    comp, text = pdf["comp"].tolist(), pdf["text"].tolist()
     sets: dict[int, tuple] = {}
 
     def words(i: int) -> tuple:
         if i not in sets:
-            sets[i] = next(multisets([text.pop(i)]))
+            sets[i], text[i] = next(multisets([text[i]])), None
         return sets[i]
 
+    i, j, guess = _near(*(int(k) for k in key), pdf)
     forest, out = _Forest(), []
-    columns = [pairs[c].tolist() for c in ("a", "b", "ca", "cb")]
-    for n in np.argsort(-pairs["guess"].to_numpy(), kind="stable").tolist():
-        a, b, ca, cb = (c[n] for c in columns)
-        if forest.top(ca) != forest.top(cb) and jaccard(words(a), words(b)) >= THRESHOLD:
-            forest.join(ca, cb)
-            out.append((ca, cb))
+    for n in np.argsort(-guess, kind="stable").tolist():
+        a, b = int(i[n]), int(j[n])
+        if forest.top(comp[a]) != forest.top(comp[b]) and jaccard(words(a), words(b)) >= THRESHOLD:
+            forest.join(comp[a], comp[b])
+            out.append((comp[a], comp[b]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -306,14 +312,14 @@ def _tiled(left: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     others = F.sequence(F.when(first, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("rest") - 1)
     placed = left.join(most, F.col("band") == F.col("mband")).select("band", "id", "comp", block.alias("block"), F.explode(others).alias("other"))
     sides = placed.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "comp")
-    sides = sides.join(sketches.select("id", "weight", "bytes", "bands"), "id")
-    found = materialize(sides.groupBy("band", "lo", "hi").applyInPandas(_tile, _PAIRS), "tiled")
+    signed = sketches.select("id", "weight", "bytes", "bands")
     tile = ["band", "lo", "hi"]
-    doubt = found.where(F.col("guess") < 1)
-    member = doubt.select(*[F.col(k).alias("t" + k) for k in tile], F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = member.join(_texts(member.select("id"), sketches, docs), "id")
-    weighed = doubt.groupBy(*tile).cogroup(texts.groupBy(*["t" + k for k in tile])).applyInPandas(_weigh, "a long, b long")
-    return found.where(F.col("guess") == 1).select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(weighed)
+    found = materialize(sides.join(signed, "id").groupBy(*tile).applyInPandas(_tile, _FOUND), "tiled")
+    # A member of doubtful pairs is sent with its text once a tile, however many these are.
+    doubt = found.where(F.col("link").isNull()).select(*tile, "id", "comp", "block")
+    texts = _texts(doubt.select("id"), sketches, docs)
+    weighed = doubt.join(signed, "id").join(texts, "id").groupBy(*tile).applyInPandas(_weigh, "a long, b long")
+    return found.where(F.col("link").isNotNull()).select(F.col("comp").alias("a"), F.col("link").alias("b")).unionByName(weighed)
 
 
 def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
