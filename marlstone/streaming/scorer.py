@@ -29,6 +29,11 @@ def ramping(spark: SparkSession, rate: int, ramp_seconds: int, partitions: int =
     return spark.readStream.format("rate").option("rowsPerSecond", rate).option("rampUpTime", f"{ramp_seconds}s").option("numPartitions", partitions).load()
 
 
+def dealt(stream: DataFrame, workers: int) -> DataFrame:
+    """A stream whose rows go round robin to that many tasks a batch."""
+    return stream.repartition(workers)
+
+
 def score_stream(transactions: DataFrame, refs: DataFrame, k: int = NEIGHBORS, threshold: float = THRESHOLD) -> DataFrame:
     """id, fraud_score, approved of a stream: stateless, each event alone. refs (ref_id, vector, label) is held by every worker.
 

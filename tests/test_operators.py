@@ -211,11 +211,11 @@ def test_pcg_rows(spark):
     assert [r["u32"] for r in generate.pcg32_rows(spark, 42, 100, 30).orderBy("i").collect()] == _pcg(42, 100)
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, tmp_path, monkeypatch):
     made = generate.transactions(spark, 200, seed=9)
     made.drop("idx", "profile").repartition(3).write.option("ignoreNullFields", "false").json(str(tmp_path / "in"))
     refs = generate.references(spark, 300)
-    decisions = scorer.score_stream(scorer.arrivals(spark, str(tmp_path / "in")), refs)
+    decisions = scorer.score_stream(scorer.dealt(scorer.arrivals(spark, str(tmp_path / "in")), 2), refs)
     counts = scorer.drain(scorer.running_counts(decisions, "approved"), "stream_counts")
     batch = scoring.decide(made, refs).groupBy("approved").count()
     assert {r["approved"]: r["n"] for r in counts.collect()} == {r["approved"]: r["count"] for r in batch.collect()}
@@ -223,6 +223,9 @@ def test_stream(spark, tmp_path):
     query = scorer.decide_each_batch(scorer.arrivals(spark, str(tmp_path / "in"), 10), refs, lambda df, epoch: seen.__setitem__(epoch, df.count())).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sum(seen.values()) == 200 and not scorer.health(query)["active"]
+    with pytest.raises(ValueError, match="decide_each_batch"):
+        monkeypatch.setattr(scorer, "MOST_HELD", 1000)
+        scorer.score_stream(scorer.arrivals(spark, str(tmp_path / "in")), refs)
 
 
 def test_elements_that_are_no_transactions(spark, tmp_path, payloads_text):
