@@ -580,7 +580,7 @@ def test_blocks_and_what_is_remembered(spark):
                 gain += math.log10(m / (n + k) + k / (n + k) * 10**-3.0) + 3.0
         want[row] = gain
     df = spark.createDataFrame(rows, "row long, held_out boolean, seen array<struct<ctx:long,block:long,lm:double,c:long,n:long>>")
-    got = {r["row"]: r["gain"] for r in lm.remembered(df, lm.count_blocks(spark.createDataFrame([(t,) for t in training], "text string"))).collect()}
+    got = {r["row"]: r["gain"] for r in lm.remembered(df, lm.blocks_in(lm.count_corpus(spark.createDataFrame([(t,) for t in training], "text string")))).collect()}
     assert got == pytest.approx({k: v for k, v in want.items()}) and got[0] > 8 > 0 > got[2] and got[100] > 8
 
 
