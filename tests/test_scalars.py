@@ -79,3 +79,11 @@ def test_sql_functions(spark):
 @pytest.mark.parametrize("text,width", [("", 0), ("abc", 3), ("\x1b[1;31mred", 3)])
 def test_width(text, width):
     assert T.width_of(text) == width
+
+
+def test_years_after_9999(spark):
+    rows = spark.createDataFrame([(780_000_000_000,), (253_402_300_800,), (253_402_300_799,), (0,)], "e long")
+    text = S.timestamp_text(F.col("e"))
+    found = rows.select(text, S.epoch_of(text), "e").collect()
+    assert [r[0] for r in found] == ["26687-03-20T18:40:00Z", "10000-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "1970-01-01T00:00:00Z"]
+    assert all(r[1] == r[2] for r in found)
