@@ -87,3 +87,10 @@ def test_years_after_9999(spark):
     found = rows.select(text, S.epoch_of(text), "e").collect()
     assert [r[0] for r in found] == ["26687-03-20T18:40:00Z", "10000-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "1970-01-01T00:00:00Z"]
     assert all(r[1] == r[2] for r in found)
+
+
+def test_decimals_of_halves(spark):
+    """Ten decimals of exact halves and of numbers whose shortest text only looks like one, as C's printf writes them."""
+    values = [0.00048828125, -0.00146484375, 0.25048828125, 0.12345678905, 123456.12345678905, 0.99999999995, 7.99999999995, 1e-12, -1e-12, 0.3 * 3, 98765432.109876543, 0.1, 4503599627370495.5]
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(T.number_text(F.col("v"))).collect()]
+    assert found == [(f"{v:.10f}".rstrip("0").rstrip(".")) for v in values]
