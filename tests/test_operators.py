@@ -13,6 +13,7 @@ from marlstone.cli import parser
 from marlstone.functions import jsonfns as J
 from marlstone.functions import scalar as S
 from marlstone.operators import evaluate as E
+from marlstone.operators import boxes
 from marlstone.operators import knn as N
 from marlstone.operators import resolve
 from marlstone.operators.vectorize import vectorize
@@ -82,6 +83,35 @@ def test_exact_plans_with_ties(spark, plan, metric):
     assert got == _brute(queries, refs, 5, metric)
 
 
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+def test_buckets_in_many_cells(spark, monkeypatch, metric):
+    """Equal to brute force where neighbors lie in other cells; NaN and missing numbers have none."""
+    monkeypatch.setattr(N, "_CELL", 40)
+    refs, queries = _tied(spark, 600, 3), _tied(spark, 40, 4)
+    odd = [(9000, [float("nan")] * 14, "fraud"), (9001, [None] * 14, "fraud"), (9002, [float("inf")] * 14, "fraud")]
+    r = spark.createDataFrame(refs + odd, "ref_id long, vector array<double>, label string")
+    q = spark.createDataFrame([x[:2] for x in queries + odd], "idx long, vector array<double>")
+    got = sorted((x["idx"], x["ref_id"], x["rank"]) for x in N.knn(q, r, 5, metric, "buckets").collect())
+    assert got == _brute(queries, refs, 5, metric)
+    none = N.knn(q, r.where("ref_id < 0"), 5, metric, "buckets")
+    assert none.count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+def test_boxes_leave_most_references_out(monkeypatch, metric):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((40_000, 5)), 2)
+    ids = rng.permutation(len(x))
+    read, leaves = [0], boxes.Boxes._leaves
+    monkeypatch.setattr(boxes.Boxes, "_leaves", lambda self, y, k, own, kth, best, row, leaf: (read.append(len(row)), leaves(self, y, k, own, kth, best, row, leaf))[1])
+    row, col, d = boxes.Boxes(x, ids, metric).search(x[:500], 5, ids[:500])
+    all_d = N.distances(metric, x[:500], x)
+    all_d[ids[:500][:, None] == ids] = np.nan
+    r, c = N._best(all_d, ids, 5)
+    assert (row == r).all() and (col == c).all() and (d == all_d[r, c]).all()
+    assert sum(read) * boxes.LEAF < 0.05 * 500 * len(x)
+
+
 @pytest.mark.parametrize("plan", ["cells", "hashes", "graph"])
 def test_approximate_plans(spark, plan):
     rng = np.random.default_rng(5)
