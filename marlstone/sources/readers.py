@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,15 +39,25 @@ def references(spark: SparkSession, path: str, dims: int = 14) -> DataFrame:
     split's references are counted, and the counts of those before it give its first place. A gzip file
     is one split: convert it once with `store_references`.
     """
-    pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    pieces = _pieces(spark, path, "}")
     rows = pieces.withColumn("value", F.regexp_replace("value", r"^[\s\ufeff\[,]+", "")).where(F.startswith("value", F.lit("{")))
-    parsed = rows.select("file", "start", "n", F.from_json(F.concat("value", F.lit("}")), schemas.REFERENCE).alias("r"))
+    out = _placed(rows, F.from_json(F.concat("value", F.lit("}")), schemas.REFERENCE).alias("r"))
+    return checked(out.select(F.col("place").alias("ref_id"), "r.vector", "r.label"), dims)
+
+
+def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """value, file, start (of its split), n (rising in a split) of a text cut at sep, in splits."""
+    return spark.read.option("lineSep", sep).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+
+
+def _placed(rows: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, and each row's place among all: a split's rows are counted, and the counts of those before it give its first place."""
     counts = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("c"))
     # A row a split of the files.
     before = F.coalesce(F.sum("c").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(W.partitionBy("file", "start").orderBy("n")) - 1 + F.col("before")
-    out = parsed.join(counts.select("file", "start", before.alias("before")), ["file", "start"])
-    return checked(out.select(place.cast("long").alias("ref_id"), "r.vector", "r.label"), dims)
+    out = rows.join(counts.select("file", "start", before.alias("before")), ["file", "start"])
+    return out.withColumn("place", place.cast("long")).select("place", *columns)
 
 
 def checked(refs: DataFrame, dims: int) -> DataFrame:
@@ -65,15 +75,45 @@ def stored_references(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ref_id long, vector array<double>, label string").parquet(path)
 
 
+_HEAD, _ENTRY, _TWO = r'(?s)^\ufeff?\{.*"entries"\s*:\s*\[\s*$', r'(?s)^,?\{"request":.*\}\s*$', r"\}\s*,\s*\{"
+
+
+def _by_lines(spark: SparkSession, path: str) -> str | None:
+    """The first line of a test file with a line for its head, each entry and its end, as `write_test_file` writes it; None for any other layout.
+
+    Every line is looked at. A line break isn't allowed within JSON strings and `request` is the name of an entry's first field only,
+    so lines that begin so are entries; one with another object behind a comma isn't taken for one.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    head = lines.select("value").where(F.rlike("value", F.lit(_HEAD))).take(2)
+    if len(head) != 1:
+        return None
+    kind = F.when(F.rlike("value", F.lit(_ENTRY)) & ~F.rlike("value", F.lit(_TWO)), "entry").when(F.rlike("value", F.lit(_HEAD)), "head").when(F.rlike("value", F.lit(r"^\]\s*\}\s*$")), "end").when(F.trim("value") != "", "other")
+    found = lines.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("file"), F.max("file")).collect()
+    n = {r["kind"]: r["n"] for r in found}
+    one_file = len({f for r in found if r["kind"] for f in (r[2], r[3])}) == 1
+    return head[0][0].lstrip("\ufeff") if one_file and n.get("end") == 1 and not n.get("other") else None
+
+
 def test_header(spark: SparkSession, path: str) -> DataFrame:
     """references_checksum_sha256 and stats of a labeled test file."""
-    return spark.read.schema(schemas.TEST_HEADER).json(path, multiLine=True)
+    head = _by_lines(spark, path)
+    if head is None:
+        return spark.read.schema(schemas.TEST_HEADER).json(path, multiLine=True)
+    return spark.createDataFrame([(head + "]}",)], "value string").select(F.from_json("value", schemas.TEST_HEADER).alias("h")).select("h.*")
 
 
 def test_file(spark: SparkSession, path: str) -> DataFrame:
-    """idx, request, expected_approved, expected_fraud_score of a labeled test file."""
-    rows = spark.read.schema(schemas.TEST_FILE).json(path, multiLine=True)
-    return rows.select(F.posexplode("entries").alias("pos", "e")).select(F.col("pos").cast("long").alias("idx"), "e.*")
+    """idx, request, expected_approved, expected_fraud_score of a labeled test file.
+
+    A file with a line an entry is read in splits; any other document is one split.
+    """
+    if _by_lines(spark, path) is None:
+        rows = spark.read.schema(schemas.TEST_FILE).json(path, multiLine=True)
+        return rows.select(F.posexplode("entries").alias("pos", "e")).select(F.col("pos").cast("long").alias("idx"), "e.*")
+    rows = _pieces(spark, path, "\n").where(F.rlike("value", F.lit(_ENTRY)))
+    entry = F.from_json(F.ltrim("value", F.lit(",")), schemas.ENTRY, {"mode": "FAILFAST"})
+    return _placed(rows, entry.alias("e")).select(F.col("place").alias("idx"), "e.*")
 
 
 def participants(spark: SparkSession, path: str) -> DataFrame:

@@ -438,3 +438,28 @@ def test_edit_neighbors(spark):
     got = {(r["word"], r["other"]) for r in N.edit_neighbors(w, w.withColumnRenamed("word", "other")).collect()}
     assert ("abc", "bac") not in got and {("a", "ab"), ("abc", "abd"), ("abc", "xabc"), ("", "a")} <= got
     assert all(near(a, b) for a, b in got)
+
+
+def test_test_file_in_splits(spark, tmp_path):
+    """A line an entry is read in splits, in the order of the file; other layouts of the same document give the same rows."""
+    made = generate.transactions(spark, 300, seed=4).drop("profile")
+    score = F.pmod("idx", F.lit(6)) / F.lit(5.0)
+    out, other = str(tmp_path / "lines"), tmp_path / "other.json"
+    scoring.write_labeled(made.withColumns({"expected_fraud_score": score, "expected_approved": S.approved(score)}), "00", out)
+    text = "\n".join(r[0] for r in spark.read.text(out).collect())
+    document = json.loads(text)
+    other.write_text(json.dumps(document, indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = readers.test_file(spark, out)
+        assert rows.select(F.spark_partition_id()).distinct().count() > 1 or rows.rdd.getNumPartitions() > 1
+        assert len(spark.read.text(out).inputFiles()) == 1 and readers._by_lines(spark, out) is not None and readers._by_lines(spark, str(other)) is None
+        got = rows.orderBy("idx").collect()
+        assert [r["idx"] for r in got] == list(range(300)) and [r["request"]["id"] for r in got] == [e["request"]["id"] for e in document["entries"]]
+        assert got == readers.test_file(spark, str(other)).orderBy("idx").collect()
+        assert readers.test_header(spark, out).collect() == readers.test_header(spark, str(other)).collect()
+        two = tmp_path / "two.json"
+        two.write_text(text.replace("\n,", ",", 1))
+        assert readers._by_lines(spark, str(two)) is None and readers.test_file(spark, str(two)).orderBy("idx").collect() == got
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
