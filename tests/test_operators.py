@@ -463,3 +463,15 @@ def test_test_file_in_splits(spark, tmp_path):
         assert readers._by_lines(spark, str(two)) is None and readers.test_file(spark, str(two)).orderBy("idx").collect() == got
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_hashes_write_no_pairs(spark, monkeypatch):
+    """Rows that leave the buckets are at most k a query and block, though all pairs share a bucket."""
+    rng = np.random.default_rng(6)
+    r = spark.createDataFrame([(i, v.tolist(), "fraud") for i, v in enumerate(rng.random((500, 6)))], "ref_id long, vector array<double>, label string")
+    q = r.where("ref_id < 40").select(F.col("ref_id").alias("idx"), "vector")
+    kept, within = [], N._blocks_within
+    monkeypatch.setattr(N, "_blocks_within", lambda *a, **how: kept.append(within(*a, **how)) or kept[-1])
+    found = N.knn(q, r, 5, plan="hashes", skip_self=True, width=100.0, tables=3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, N.knn(q, r, 5, skip_self=True).collect()))
+    assert len(kept) == 1 and kept[0].groupBy("idx").count().agg(F.max("count")).first()[0] <= 5 * 3 * 2
