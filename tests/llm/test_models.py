@@ -631,6 +631,54 @@ def test_fitted_windows_grow_with_the_corpus(spark, monkeypatch):
     assert np.isfinite(model.each([ids[:50]])).all()
 
 
+def test_all_training_documents_are_learned_from(spark, monkeypatch):
+    rng = random.Random(10)
+    texts = [(i, prose(rng, "en", 60)) for i in range(300)] + [(300, prose(rng, "de", 9000))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    own = [[*lm.ids_of(lm.words_of(t)), lm.END] for _, t in texts]
+    counts = np.bincount(np.concatenate(own), minlength=lm.VOCAB)
+    monkeypatch.setattr(lm, "WINDOWS", 4)
+    seen, fit, train_on = [], lm.fit, lm.train_on
+    monkeypatch.setattr(lm, "fit", lambda *a, **b: (seen.append(b["stats"][0]), fit(*a, **b))[1])
+    monkeypatch.setattr(lm, "train_on", lambda rows, *a: (seen.append([np.frombuffer(r["w"], np.uint16) for r in rows.collect()]), train_on(rows, *a)))
+    lm.learn(df, len(texts), counts, np.zeros((0, 0)), np.zeros(0, np.int64), most=20)
+    # The classes' counts and the rounds' rows have each id of each text as a target once.
+    assert (seen[0] == counts).all()
+    assert (np.bincount(np.concatenate([w[lm.LEAD :] for w in seen[1]]), minlength=lm.VOCAB) == counts).all() and len(seen[1]) > len(texts)
+
+
+def test_steps_are_the_gradients():
+    rng = np.random.default_rng(5)
+    f32 = lambda *s: rng.standard_normal(s).astype(np.float32) * np.float32(0.4)
+    p = {"E": f32(9, 6), "Q": f32(6, 6), "K": f32(6, 6), "V": f32(6, 6), "O": f32(6, 6), "U": f32(6, 5), "c": f32(5), "rel": f32(lm.SPAN)}
+    row, cls = np.arange(lm.VOCAB) % 9, np.arange(lm.VOCAB) % 5
+    texts = [np.concatenate((np.full(lm.LEAD, lm.PAD), rng.integers(0, 900, m))) for m in (40, 3)] + [rng.integers(0, 900, lm.LEAD + 20)]
+
+    def loss(q):
+        total, n = 0.0, 0
+        for t in texts:
+            for i in range(lm.LEAD, len(t)):
+                nth = (i - lm.LEAD) % lm.STRIDE
+                x = q["E"][row[t[i - 1 - nth - lm.STRIDE : i]]].astype(float)
+                a = (x[-1] @ q["Q"]) @ (x @ q["K"]).T * 6**-0.5 + q["rel"][np.arange(len(x))[::-1]]
+                a = np.exp(a) / np.exp(a).sum()
+                z = (x[-1] + (a @ (x @ q["V"])) @ q["O"]) @ q["U"] + q["c"]
+                total, n = total + np.log(np.exp(z).sum()) - z[cls[t[i]]], n + 1
+        return total / n, n
+
+    q = {k: v.copy() for k, v in p.items()}
+    assert lm._train(q, row, cls, iter([texts]), lambda step: 1e-3) == loss(p)[1]
+    for name, v in p.items():  # a first step of Adam goes against the sign of each gradient
+        for _ in range(6):
+            at = tuple(rng.integers(0, m) for m in v.shape)
+            up, down = ({k: x.astype(float) for k, x in p.items()} for _ in range(2))
+            up[name][at] += 1e-4
+            down[name][at] -= 1e-4
+            slope = (loss(up)[0] - loss(down)[0]) / 2e-4
+            if abs(slope) > 1e-5:
+                assert q[name][at] - v[at] == pytest.approx(-1e-3 * np.sign(slope), rel=0.05), name
+
+
 # the pipeline and the registry
 
 
