@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, numbered, small
+from .common import hold, numbered, small
 
 RACKS, PER_RACK = 2, 4
 
@@ -72,7 +72,8 @@ def assign(docs: DataFrame, shards: int = 24, base: int = 24, bucket_rows: int =
     tree, grown = layout(shards, base), layout(shards + 1, base)
     text = F.coalesce(F.col("text"), F.lit(""))
     seen = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
-    rows = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("alike")), "rows")
+    # Held, not written: each file that is written starts processes that count the executor's memory again.
+    rows = hold(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("alike")))
     known = rows.agg(F.count(F.lit(1)), F.max("alike")).first()
     buckets = max(least_buckets, -(-known[0] // (shards * bucket_rows)))
     bucket = F.pmod(F.xxhash64(*key, F.col("h")), F.lit(buckets)).cast("int")

@@ -14,7 +14,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marlstone import shared
 from marlstone.llm import mixing, packing, pii, sharding, urlfilter
+from marlstone.llm.common import small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -197,6 +199,12 @@ def test_equal_rows_get_their_slots(spark):
     assert tuple(got) == (50_000, 0, 49_999, 1)
 
 
+def test_sharding_writes_no_files(spark, docs, rows):
+    before = shared.written()
+    assert sharding.assign(docs).count() == len(rows) and shared.written() == before
+    assert int(small_batches(spark).conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
 def brute_shard(key, tree, draw):
     level = tree
     while True:

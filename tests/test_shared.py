@@ -27,6 +27,16 @@ def test_held_tables(spark):
     assert not shared._held and kept.count() == 100
 
 
+def test_tidy_gives_memory_back(spark):
+    machine = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: machine.totalMemory() - machine.freeMemory()
+    shared.tidy(spark)
+    least = used()
+    spark._jvm.java.util.BitSet(1 << 30).set(1)  # 128 MB that nothing refers to
+    shared.tidy(spark)
+    assert used() < least + (64 << 20)
+
+
 def test_written_files_are_dropped(spark):
     import glob
 
