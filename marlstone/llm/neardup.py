@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hold, materialize, slices, small
+from .common import fresh, hold, materialize, slices, small, tidy
 from .components import components
 from .shingles import jaccard, mix, multisets
 
@@ -337,18 +337,24 @@ def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     failed = bucket.where("id <> leader AND n > 2").join(good, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select(F.col("band").alias("fband")).distinct()
     left = bucket.join(failed, F.col("band") == F.col("fband"), "left_semi").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
     left, more = _apart(left), []
+    tidy(docs.sparkSession)
+    # What follows reads the sketches several times; most texts are in no contested bucket, so these are left out once.
+    here = hold(left.select("id").distinct())
+    n = here.count()
+    contested = materialize(every.drop("doc_id").join(small(here, n), "id", "left_semi"), "contested") if n else every
     for turn in range(TURNS):
         if left.isEmpty():
             break
         lead = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("l")).select(F.col("band").alias("lband"), "l")
         held = left.join(lead, F.col("band") == F.col("lband")).where(F.col("comp") != F.col("l.comp")).select(F.col("id").alias("a"), F.col("l.id").alias("b"), F.col("comp").alias("ca"), F.col("l.comp").alias("cb"))
         held = hold(held.distinct())
-        new = held.join(_judge(held.select("a", "b"), every, docs), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        new = held.join(_judge(held.select("a", "b"), contested, docs), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         more.append(hold(new.distinct()))
         joined = components(more[-1])
         left = _apart(left.join(joined, F.col("comp") == F.col("node"), "left").select("band", "id", F.coalesce("root", "comp").alias("comp")))
+        tidy(docs.sparkSession)
     if not left.isEmpty():
-        more.append(_tiled(left, every, docs))
+        more.append(_tiled(left, contested, docs))
     if not more:
         return roots
     # Links between components, as they were at each turn: each is named by one of its nodes, which an earlier link joins to the others.
@@ -370,6 +376,7 @@ def _apart(rows: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketch(docs); t1, t2, t3, class, class_id of each text). Classes may share a class_id where rows share a doc_id."""
     every = materialize(sketch(docs), "sketches")
+    tidy(docs.sparkSession)
     of = every.where(F.col("t1").isNotNull()).groupBy(*KEY).agg(F.min("id").alias("text"), F.min("doc_id").alias("least"))
     of = hold(of)
     roots = connected(every, of.select(F.col("text").alias("node")), docs)

@@ -305,6 +305,15 @@ def test_tiles_and_turns_agree_with_brute_force(spark, monkeypatch, turns):
     assert {d: c for d, c in got.items() if d is not None} == brute_classes(rows)
 
 
+def test_only_contested_sketches_are_read_again(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TURNS", 0)
+    read, real = [], neardup._tiled
+    monkeypatch.setattr(neardup, "_tiled", lambda left, sketches, docs: (read.append((left.select("id").distinct().count(), sketches.count())), real(left, sketches, docs))[1])
+    rows = near_corpus()
+    assert neardup.classes(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
+    assert len(read) == 1 and 0 < read[0][0] == read[0][1] < len(rows)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     off = []
