@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import langid, mixing, neardup, packing, pii
-from marlstone.llm.common import materialize, small_batches, table
+from marlstone.llm.common import materialize, small_batches, table, tidy
 from marlstone.shared import drop, written
 
 
@@ -28,7 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Text in another language of the same script stays: of few languages the machines always find one likely.
     """
     small_batches(spark)
-    return langid.keep_known(docs, langid.train(docs))
+    machines = langid.train(docs)
+    tidy(spark)
+    return langid.keep_known(docs, machines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
