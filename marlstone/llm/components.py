@@ -1,21 +1,45 @@
-"""Connected components of a link table, by large-star and small-star turns."""
+"""Connected components of a link table, by large-star and small-star turns, or of few links in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
-def components(links: DataFrame, most_turns: int = 60) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all the links (u, v) together."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(top, nodes), pa.int64())], ["node", "root"])
+
+
+def components(links: DataFrame, most_turns: int = 60, few: int = 0) -> DataFrame:
     """node, root (the smallest node of its component) for every node of links (a, b: long).
 
     Each turn is two aggregates by node (combined before the shuffle) and two joins, which
-    Spark splits where a node has very many links; nothing is collected.
+    Spark splits where a node has very many links; nothing is collected. Up to `few` different
+    links are joined in one task instead: turns of small tables are many plans, which the driver's
+    memory keeps, and little work.
     """
     e = F.col
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if few and edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(_joined, "node long, root long")
     seen = None
     for _ in range(most_turns):
         # Large star: each node's larger neighbours link to its smallest neighbour, or itself.

@@ -54,6 +54,8 @@ _SIGMA = math.sqrt(THRESHOLD * (1 - THRESHOLD) / K)
 SURE, HOPELESS = THRESHOLD + 4 * _SIGMA, THRESHOLD - 4 * _SIGMA
 TURNS = 2
 _TILE = 1024
+#: So many links are joined in one task.
+_FEW = 200_000
 
 
 def _throw(text: np.ndarray, cell: np.ndarray, bound: np.ndarray, out: np.ndarray, weight: np.ndarray | None = None) -> None:
@@ -332,7 +334,7 @@ def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     bucket = hold(member.join(leader.hint("shuffle_hash"), F.col("band") == F.col("lband")).select("band", "id", "leader", "n"))
     pairs = bucket.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     good = hold(_judge(pairs, every, docs))
-    roots = hold(components(good))
+    roots = hold(components(good, few=_FEW))
     # What failed against the leader: its bucket is searched on across the components so far. Of two members there is no other pair.
     failed = bucket.where("id <> leader AND n > 2").join(good, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select(F.col("band").alias("fband")).distinct()
     left = bucket.join(failed, F.col("band") == F.col("fband"), "left_semi").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
@@ -350,7 +352,7 @@ def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         held = hold(held.distinct())
         new = held.join(_judge(held.select("a", "b"), contested, docs), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         more.append(hold(new.distinct()))
-        joined = components(more[-1])
+        joined = components(more[-1], few=_FEW)
         left = _apart(left.join(joined, F.col("comp") == F.col("node"), "left").select("band", "id", F.coalesce("root", "comp").alias("comp")))
         tidy(docs.sparkSession)
     if not left.isEmpty():
@@ -361,7 +363,7 @@ def connected(every: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     joined = more[0]
     for x in more[1:]:
         joined = joined.unionByName(x)
-    joined = hold(components(joined)).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    joined = hold(components(joined, few=_FEW)).select(F.col("node").alias("was"), F.col("root").alias("now"))
     named = roots.unionByName(joined.select(F.col("was").alias("node"), F.col("was").alias("root")).join(roots.select("node"), "node", "left_anti"))
     return named.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
 

@@ -355,6 +355,25 @@ def test_components(spark):
     assert all(root == top(n) for n, root in got.items()) and {n for n in above if top(n) != n} <= set(got)
 
 
+def test_few_links_are_joined_in_one_task(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i + 1, i) for i in range(1000, 1040)] + [(5, 5)] * 2
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = dict(map(tuple, components.components(df).collect()))
+    cuts, cut = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda d, name: cuts.append(name) or cut(d, name))
+    got = components.components(df, few=1000).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want and cuts == ["links"]
+    assert components.components(df.limit(0), few=1000).collect() == []
+    assert dict(map(tuple, components.components(df, few=3).collect())) == want and len(cuts) > 3
+    cuts.clear()
+    # Near duplicates join few links so, at each turn.
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text + f" end{i}") for i in range(6)] + [(9, "other words than these are here")], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.classes(docs).collect())) == [(i, 0) for i in range(6)] + [(9, 9)]
+    assert cuts and set(cuts) == {"links"}
+
+
 def test_unsettled_components_are_no_result(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="settle"):

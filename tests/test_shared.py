@@ -42,6 +42,13 @@ def test_tidy_gives_memory_back(spark):
     assert used() < least + (64 << 20)
 
 
+def test_tidy_trims_the_native_heap(spark, monkeypatch):
+    said, trim = [], shared._trim_native
+    monkeypatch.setattr(shared, "_trim_native", lambda sc: said.append(trim(sc)))
+    shared.tidy(spark)
+    assert len(said) == 1 and "trim" in said[0].lower()
+
+
 def test_written_files_are_dropped(spark):
     import glob
 
