@@ -729,3 +729,16 @@ def test_pipeline(spark, docs, tmp_path):
 def test_registry():
     assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "packing"]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_pieces_by_the_lexicon_are_those_of_the_tokenizer(spark, monkeypatch):
+    texts = ["Some words, some WORDS and others", "", None, "odd\u00a0white \u2003 space <|endoftext|> here", "naïve 漢字 words " * 3000, "rare unseen"]
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    known = [w for w, _ in Counter(w for t in texts[:-1] for w in lm.words_of(t)).most_common(9)]
+    sent = spark.sparkContext.broadcast(lm.Lexicon(known, np.zeros(len(known))))
+    plain, fast = (sorted((r["draw"], bytes(r["w"])) for r in lm.pieces(df, 4096, x).collect()) for x in (None, sent))
+    assert plain == fast and len(plain) > len(texts)
+    given, learn = [], lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a, lexicon=None, **k: given.append(lexicon) or learn(*a, lexicon=lexicon, **k))
+    assert lm.score(df.withColumnRenamed("h", "doc_id")).count() == len(texts)
+    assert "words" in [w.decode() for w in given[0].value.number]
