@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -742,3 +743,57 @@ def test_pieces_by_the_lexicon_are_those_of_the_tokenizer(spark, monkeypatch):
     monkeypatch.setattr(lm, "learn", lambda *a, lexicon=None, **k: given.append(lexicon) or learn(*a, lexicon=lexicon, **k))
     assert lm.score(df.withColumnRenamed("h", "doc_id")).count() == len(texts)
     assert "words" in [w.decode() for w in given[0].value.number]
+
+
+def test_columns_are_read_as_texts_are(spark):
+    texts = ["  a\x0bbb \t c\x1cd\x85e  f\n", "", " ", None, "a\x0cb\rc", "ÄÖ É漢字 odd white", "x " * 100, "x " * 32, ("y " * 64).strip(), "A-Z Zz", "z" * 70_000]
+    words = [lm.words_of(t) for t in texts]
+    lexicon = lm.Lexicon([b"x", b"a", b"zz"], np.array([-1.0, -2.0, -3.0]))
+    for column, want in ((pa.array(texts), words), (pa.array(texts)[3:6], words[3:6]), (pa.array([], pa.string()), [])):
+        flat, ends = lm.split(column)
+        assert [flat[a:b].to_pylist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+        assert [h.tolist() for h in lm.blocks_of_all(flat, ends)] == [lm.blocks_of(w) for w in want]
+        for i, (some, at, ids, *more) in enumerate(lexicon.read_column(column, 2)):
+            part = want[2 * i : 2 * i + 2]
+            plain = lexicon.read(part)
+            assert [x.tolist() for x in ids] == [x.tolist() for x in plain[0]] == [lm.ids_of(w).tolist() for w in part]
+            assert [x.tolist() for x in more[:2]] == [x.tolist() for x in plain[1:3]] and more[2] == plain[3]
+            assert [h.tolist() for h in lm.blocks_of_all(some, at)] == [lm.blocks_of(w) for w in part]
+    # Counts of words, of their ids, and of ids after each other.
+    counts = lm.with_ids(lm.count_words(spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(3)))
+    c = Counter(w for t in words * 3 for w in t)
+    assert {bytes(r["word"]): r["c"] for r in counts.collect()} == c
+    ids = {w: lm.ids_of([w]) for w in c}
+    assert {bytes(r["word"]): np.frombuffer(r["ids"], np.uint16).tolist() for r in counts.collect()} == {w: x.tolist() for w, x in ids.items()}
+    want, after = np.zeros(lm.VOCAB), Counter()
+    for w, x in ids.items():
+        np.add.at(want, x, c[w])
+        for a, b in zip(x[:-1].tolist(), x[1:].tolist(), strict=True):
+            after[a, b] += c[w]
+    paired = np.flatnonzero(want)[1:]
+    assert (lm.count_ids(counts) == want).all() and len(after) > 5
+    assert lm.count_pairs(counts, paired).tolist() == [[after[a, b] for b in paired.tolist()] for a in paired.tolist()]
+
+
+def test_a_step_in_parts_is_the_same_step(monkeypatch):
+    rng = np.random.default_rng(8)
+    f32 = lambda *s: rng.standard_normal(s).astype(np.float32) * np.float32(0.4)
+    p = {"E": f32(9, 6), "Q": f32(6, 6), "K": f32(6, 6), "V": f32(6, 6), "O": f32(6, 6), "U": f32(6, 5), "c": f32(5), "rel": f32(lm.SPAN)}
+    row, cls = np.arange(lm.VOCAB) % 9, np.arange(lm.VOCAB) % 5
+    texts = [np.concatenate((np.full(lm.LEAD, lm.PAD), rng.integers(0, 900, m))) for m in (300, 1, 16)] + [rng.integers(0, 900, lm.LEAD + 95)]
+    got = []
+    for most in (1 << 13, 64, lm.STRIDE):
+        monkeypatch.setattr(lm, "_CACHED", most)
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        done = [lm._add_gradients(g, p, row, cls, some, 412) for some in lm._batches(lm._cut(texts, most), most)]
+        q = {k: v.copy() for k, v in p.items()}
+        assert sum(done) == lm._train(q, row, cls, iter([texts, texts]), lambda step: 1e-3) / 2 == 412 and (len(done) > 5) == (most < 100)
+        got.append(g)
+    for g in got[1:]:
+        for name, v in got[0].items():
+            assert g[name] == pytest.approx(v, rel=1e-3, abs=1e-6), name
+    # Scores and logits out of bounds are kept within them.
+    wide = {k: v * np.float32(200 if k in "QU" else 1) for k, v in p.items()}
+    g = {k: np.zeros_like(v) for k, v in wide.items()}
+    lm._add_gradients(g, wide, row, cls, texts, 412)
+    assert all(np.isfinite(v).all() for v in g.values())
