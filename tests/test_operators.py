@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone import generate, queries, report, schemas
+from marlstone import generate, queries, report, schemas, shared
 from marlstone.cli import parser
 from marlstone.functions import jsonfns as J
 from marlstone.functions import scalar as S
@@ -258,6 +258,29 @@ def test_stream(spark, tmp_path, monkeypatch):
         scorer.score_stream(scorer.arrivals(spark, str(tmp_path / "in")), refs)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_stream_of_more_references_than_workers_hold(spark, tmp_path, monkeypatch):
+    small = SF.replace("sf0.1", "sf0.001")
+    held = sorted(map(tuple, queries.q56_stream_scores(spark, small).collect()))
+    monkeypatch.setattr(scorer, "MOST_HELD", 1000)
+    assert held and sorted(map(tuple, queries.q56_stream_scores(spark, small).collect())) == held
+
+
+def test_drained_batches(spark, tmp_path):
+    made = shared.materialize(generate.transactions(spark, 90, seed=9))
+    made.drop("idx", "profile").repartition(3).write.option("ignoreNullFields", "false").json(str(tmp_path / "in"))
+    refs = shared.materialize(generate.references(spark, 300))
+    at, state = str(tmp_path / "out"), str(tmp_path / "state")
+    before = shared.written()
+    found = scorer.drain_batches(scorer.arrivals(spark, str(tmp_path / "in")), refs, at, state)
+    assert shared.written() == before
+    want = made.join(scoring.decide(made, refs), "idx").select("id", "fraud_score", "approved")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"none", "0", "1", "2"}
+    (tmp_path / "nothing").mkdir()
+    assert scorer.drain_batches(scorer.arrivals(spark, str(tmp_path / "nothing")), refs, at + "2", state + "2").count() == 0
+
+
 def test_elements_that_are_no_transactions(spark, tmp_path, payloads_text):
     good = json.loads(payloads_text)[:2]
     path = tmp_path / "payloads.json"
